@@ -40,7 +40,7 @@ def fixed6(v: Column) -> Column:
     ``format_string('%.6f')`` rounds the shortest decimal half up, which gives
     another last digit on ties; ``format_number`` does not.
     """
-    return F.format_number(v, "0.000000")
+    return F.call_function("format_number", v, F.lit("0.000000"))
 
 
 def label_line(cid: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:

@@ -37,7 +37,7 @@ def format_time(seconds: Column) -> Column:
     """``H:MM:SS.mmm``; a fraction that rounds up may print 60.000."""
     h = F.floor(seconds / F.lit(3600.0))
     m = F.floor((seconds % F.lit(3600.0)) / F.lit(60.0))
-    s = F.format_number(seconds % F.lit(60.0), "00.000")
+    s = F.call_function("format_number", seconds % F.lit(60.0), F.lit("00.000"))
     return F.concat(h.cast("string"), F.lit(":"), F.format_string("%02d", m), F.lit(":"), s)
 
 
