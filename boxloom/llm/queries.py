@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxloom.llm import decontam, quality
 from boxloom.llm.common import table
 
 QUERIES: dict = {}
@@ -28,6 +29,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxloom.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxloom.llm.decontam import contamination_digest
+
+    return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxloom.llm.sharding import assign_shards
@@ -58,3 +73,5 @@ marked AS (SELECT k.*, h.key IS NOT NULL AND k.doc_id <> h.keeper AS gone FROM k
 SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+ORACLES["op1_quality_rules"] = quality.oracle_sql()
+ORACLES["op4_decontamination"] = decontam.ORACLE_SQL
