@@ -15,13 +15,12 @@ loss, and the count-vector tree works within them:
 3. Leaders.  In each bucket a class takes as leader the one that the bound (the
    sum of coordinate minima) allows best, or becomes a leader itself: at most
    one pair a row, where a group of copies would give all pairs.  Pairs are
-   verified on whole texts; verified links give components.  A second round does
-   the same for one class of each component in the buckets that still hold
-   several.
+   verified on whole texts; verified links give components.
 4. Tree.  Buckets that still hold several components are joined by a packed
-   R-tree of their points: node pairs whose bound is below the overlap needed
-   are dropped, the surviving pairs of different components are verified.  Large
-   buckets are dealt in pairs of chunks, so every pair is seen and no task holds
+   R-tree of their points: node pairs whose bound is below the overlap needed,
+   or of one component, are dropped.  First the best surviving pair of each two
+   components is verified, which joins most of those that do link; then all
+   surviving pairs of components that are still apart.  Large buckets are dealt in pairs of chunks, so every pair is seen and no task holds
    a whole bucket.
 
 Within a component no further pair is tested: its links can't change it.  Hashes
@@ -43,12 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.bpe import Recent
 from boxloom.llm.common import written
 
 SHINGLE = 5
 NUM, DEN = 4, 5
 GROUPS = 32
+WIDE = 256
 CHUNK = 1500
 LEAF = 16
 MAX_FREQUENT = 200_000
@@ -56,15 +55,38 @@ FREQUENT = 16
 COUNT_AT_ONCE = 4_000_000
 BROADCAST_ROWS = 400_000
 PAIRS_AT_ONCE = 100_000
+SETS = "doc_id long, mark long, n long, cid long, vec binary, wide binary, tokens array<long>, counts array<long>"
+SET_NAMES = [x.split()[0] for x in SETS.split(", ")]
 # Odd multipliers of the rolling combination.
 WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 @functools.cache
-def word_codes() -> Recent:
-    import xxhash
+def byte_codes() -> np.ndarray:
+    """A 64-bit code of each byte: A-Z as a-z, white space as 0."""
+    codes = mix(np.arange(1, 257, dtype=np.uint64) * WEIGHTS[0])
+    codes[65:91] = codes[97:123]
+    codes[[9, 10, 11, 12, 13, 32]] = 0
+    return codes
+
+
+class Powers:
+    """Powers of an odd base and of its inverse, modulo 2**64, as needed."""
+
+    base = 0xD1342543DE82EF95
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
 
-    return Recent(xxhash.xxh64_intdigest)
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            inverse = pow(self.base, -1, 1 << 64)
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (self.base, inverse))
+        return self.up[:n], self.down
+
+
+POWERS = Powers()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,13 +94,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, from the text's bytes at once: sums of byte
+    codes times powers of their place, shifted to the word's start."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    codes = byte_codes()[raw]
+    inner = np.concatenate([[False], codes != 0, [False]])
+    edge = np.flatnonzero(inner[1:] != inner[:-1])
+    start, stop = edge[::2], edge[1::2]
+    up, down = POWERS.upto(len(raw) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(raw)], dtype=np.uint64)])
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes.  bytes.lower() changes A-Z only, and
-    bytes.split() cuts at \\x20 and \\x09-\\x0D only."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(word_codes().__getitem__, words), np.uint64, len(words))
+    """Sorted distinct 64-bit hashes of the word runs; only A-Z are lower-cased."""
+    codes = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(codes):
+        return codes
     k = min(SHINGLE, len(codes))
     n = len(codes) - k + 1
     h = np.full(n, k, np.uint64)
@@ -100,8 +133,16 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * overlap >= NUM * (len(a) + len(b) - overlap)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+def point(s: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)
+
+
+def wide_point(s: np.ndarray) -> bytes:
+    """WIDE counts cut at 255, and what was cut off in all: the overlap of two
+    sets is at most the sum of the minima plus the lesser of the two excesses."""
+    full = point(s, WIDE)
+    cut = np.minimum(full, 255)
+    return cut.astype(np.uint8).tobytes() + int((full - cut).sum()).to_bytes(4, "little")
 
 
 def class_id(s: np.ndarray) -> int:
@@ -111,22 +152,10 @@ def class_id(s: np.ndarray) -> int:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cid, vec) of each row."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            vec = [point(s).astype("<i4").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()), pa.array(vec, pa.binary())], ["doc_id", "n", "cid", "vec"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cid long, vec binary")
-
-
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that a part of the corpus repeats, the most frequent last.
-
-    Each task counts over the distinct sets it reads, in runs of bounded size,
-    and reports what occurs twice or more in a run."""
+    """(doc_id, mark, n, cid, vec, wide) of each row; mark is a hash of the
+    text.  Besides, rows of (tokens, counts): shingles that a run of the
+    distinct sets a task reads holds twice or more, counted over runs of bounded
+    size, so that no shingle crosses the network to be counted alone."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -136,23 +165,37 @@ def frequent(docs: DataFrame) -> np.ndarray:
         def report() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             keep = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (tokens[keep].view(np.int64), n[keep].astype(np.int64))]
+            return pa.RecordBatch.from_arrays([*none, *lists], SET_NAMES)
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingles(t)
-                if (c := class_id(s)) in seen:
-                    continue
-                seen.add(c)
-                held.append(s)
-                size += len(s)
+            sets = [shingles(t) for t in b.column(2).to_pylist()]
+            ids = [class_id(s) for s in sets]
+            vec = [point(s, GROUPS).astype("<i4").tobytes() for s in sets]
+            none = pa.nulls(len(sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(vec, pa.binary()), pa.array([wide_point(s) for s in sets], pa.binary()), none, none], SET_NAMES
+            )
+            for s, c in zip(sets, ids, strict=True):
+                if c not in seen:
+                    seen.add(c)
+                    held.append(s)
+                    size += len(s)
                 if size >= COUNT_AT_ONCE:
                     yield report()
                     held, size, seen = [], 0, set()
         if held:
             yield report()
 
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return slim.mapInArrow(run, SETS)
+
+
+def frequent(sets: DataFrame) -> np.ndarray:
+    """The most frequent reported shingles, in their order: rarest first."""
+    rows = sets.where("tokens IS NOT NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
+    found = rows.groupBy(F.col("t.tokens").alias("token")).agg(F.sum("t.counts").alias("n"))
     top = found.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toArrow()
     return top.column("token").to_numpy()[::-1].copy().view(np.uint64)
 
@@ -193,10 +236,10 @@ def incidence(docs: DataFrame, order: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, cid long")
 
 
-def buckets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def buckets(docs: DataFrame, classes: DataFrame, order: np.ndarray) -> DataFrame:
     """(token, cid, n, vec, size): buckets of two classes or more; of buckets
     with the same classes, one."""
-    rows = incidence(docs, frequent(docs))
+    rows = incidence(docs, order)
     same = Window.partitionBy("token")
     # equal classes from several tasks are next to each other in the sort
     first = Window.partitionBy("token").orderBy("cid")
@@ -227,7 +270,8 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[np.n
 
 def _arrays(t: pa.Table, cut: list[int], keys: int) -> Iterator[tuple[np.ndarray, ...]]:
     t = t.combine_chunks()
-    vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), "<i4").reshape(-1, GROUPS)
+    raw = t.column(t.num_columns - 1).to_pylist()
+    vec = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
     cols = [t.column(k).to_numpy() for k in range(keys, t.num_columns - 1)]
     for lo, hi in zip(cut, cut[1:], strict=False):
         if hi - lo > 1:
@@ -236,6 +280,7 @@ def _arrays(t: pa.Table, cut: list[int], keys: int) -> Iterator[tuple[np.ndarray
 
 def leader_pairs(cid: np.ndarray, n: np.ndarray, vec: np.ndarray) -> list[tuple[int, int]]:
     """(class, leader) in one bucket, at most one pair a class."""
+    vec = np.ascontiguousarray(vec).view("<i4")
     order = np.lexsort((cid, n))
     lead, out = [int(order[0])], []
     for i in order[1:].tolist():
@@ -249,71 +294,96 @@ def leader_pairs(cid: np.ndarray, n: np.ndarray, vec: np.ndarray) -> list[tuple[
     return out
 
 
-def tree_levels(n: np.ndarray, vec: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """A packed R-tree: points sorted by size, then by their largest spread
-    coordinates; levels of (least size, largest counts), leaves first."""
-    order = np.lexsort((vec[:, 1], vec[:, 0], n))
-    levels = [(n[order], vec[order])]
+def tree_levels(n: np.ndarray, lab: np.ndarray, vec: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """A packed R-tree: points sorted by component, size and first coordinates;
+    levels of (least size, least and greatest component, greatest excess,
+    greatest counts), leaves first."""
+    counts, extra = vec[:, :WIDE], np.ascontiguousarray(vec[:, WIDE:]).view("<u4").ravel().astype(np.int64)
+    order = np.lexsort((counts[:, 1], counts[:, 0], n, lab))
+    levels = [(n[order], lab[order], lab[order], extra[order], counts[order])]
     while len(levels[-1][0]) > 1:
-        low, high = levels[-1]
-        starts = np.arange(0, len(low), LEAF)
-        levels.append((np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts, axis=0)))
+        low, first, last, more, high = levels[-1]
+        at = np.arange(0, len(low), LEAF)
+        levels.append((np.minimum.reduceat(low, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at), np.maximum.reduceat(more, at), np.maximum.reduceat(high, at, axis=0)))
     return order, levels
 
 
-def tree_pairs(n: np.ndarray, vec: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs whose bound allows a link: node pairs are followed from the
-    root while the sum of coordinate minima reaches the overlap needed."""
-    order, levels = tree_levels(n, vec)
+def tree_pairs(n: np.ndarray, lab: np.ndarray, vec: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of different components whose bound allows a link, and by how
+    much the bound is above the overlap needed: node pairs are followed from the root while the sum of coordinate minima reaches the
+    overlap needed and they aren't of one component."""
+    order, levels = tree_levels(n, lab, vec)
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, a, b = stack.pop()
         if len(a) > PAIRS_AT_ONCE:
             stack += [(level, a[k : k + PAIRS_AT_ONCE], b[k : k + PAIRS_AT_ONCE]) for k in range(0, len(a), PAIRS_AT_ONCE)]
             continue
-        low, high = levels[level]
-        keep = np.minimum(high[a], high[b]).sum(1) >= needed(low[a], low[b])
+        low, first, last, more, high = levels[level]
+        # sizes alone first: an overlap is at most the smaller set, which for nodes of least sizes says nothing but at the points
+        keep = (first[a] != last[b]) | (last[a] != first[b])
+        if level == 0:
+            keep &= (a < b) & (np.minimum(low[a], low[b]) >= needed(low[a], low[b]))
+        a, b = a[keep], b[keep]
+        bound = np.minimum(high[a], high[b]).sum(1, dtype=np.int64) + np.minimum(more[a], more[b])
+        keep = bound >= needed(low[a], low[b])
         a, b = a[keep], b[keep]
         if level == 0:
-            keep = a < b
-            if keep.any():
-                yield order[a[keep]], order[b[keep]]
+            if len(a):
+                yield order[a], order[b], bound[keep] - needed(low[a], low[b])
             continue
         size = len(levels[level - 1][0])
         step = np.arange(LEAF)
-        x = (a[:, None, None] * LEAF + step[None, :, None] + 0 * step[None, None, :]).ravel()
-        y = (b[:, None, None] * LEAF + step[None, None, :] + 0 * step[None, :, None]).ravel()
-        fine = (x < size) & (y < size) & (x <= y)
-        if fine.any():
-            stack.append((level - 1, x[fine], y[fine]))
+        for k in range(0, len(a), PAIRS_AT_ONCE // LEAF**2):
+            part = slice(k, k + PAIRS_AT_ONCE // LEAF**2)
+            x, y = np.broadcast_arrays(a[part, None, None] * LEAF + step[None, :, None], b[part, None, None] * LEAF + step[None, None, :])
+            fine = (x < size) & (y < size) & (x <= y)
+            if fine.any():
+                stack.append((level - 1, x[fine], y[fine]))
 
 
-def _pairs(rows: DataFrame, keys: list[str], cols: list[str], find) -> DataFrame:
+def _pairs(rows: DataFrame, keys: list[str], cols: list[str], point: str, find) -> DataFrame:
     """find() on each group of rows, which are dealt and sorted by keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        known: set[tuple[int, int]] = set()  # a pair meets in several buckets
         for group in _groups(batches, len(keys)):
             for pair in find(*group):
+                if pair in known:
+                    continue
+                if len(known) >= 10 * PAIRS_AT_ONCE:
+                    known = set()
+                known.add(pair)
                 found.append(pair)
                 if len(found) >= PAIRS_AT_ONCE:
                     yield pack()
                     found = []
         yield pack()
 
-    dealt = rows.select(*keys, *cols, "vec").repartition(*keys).sortWithinPartitions(*keys, "cid")
+    dealt = rows.select(*keys, *cols, point).repartition(*keys).sortWithinPartitions(*keys, "cid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def by_leaders(rows: DataFrame) -> DataFrame:
     """Candidate pairs of a leader round; large buckets are dealt over chunks."""
     salt = F.pmod(F.xxhash64("cid", "token"), F.ceil(F.col("size") / CHUNK)).cast("long").alias("chunk")
-    return _pairs(rows.select("token", salt, "cid", "n", "vec"), ["token", "chunk"], ["cid", "n"], leader_pairs)
+    return _pairs(rows.select("token", salt, "cid", "n", "vec"), ["token", "chunk"], ["cid", "n"], "vec", leader_pairs)
+
 
+def best_of(lab: np.ndarray, i: np.ndarray, j: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each two components' pairs, the one of largest margin."""
+    one, two = np.minimum(lab[i], lab[j]), np.maximum(lab[i], lab[j])
+    order = np.lexsort((-margin, two, one))
+    first = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    at = order[first]
+    return i[at], j[at], margin[at]
 
-def by_tree(rows: DataFrame) -> DataFrame:
-    """Candidate pairs between components (lab).  A bucket of k chunks becomes
+
+def by_tree(rows: DataFrame, best: bool) -> DataFrame:
+    """Candidate pairs between components (lab): all of them, or the best pair
+    of each two components in a bucket.  A bucket of k chunks becomes
     its pairs of chunks, so all its pairs meet in some group."""
     k = F.ceil(F.col("size") / CHUNK)
     cut = rows.withColumn("chunk", F.pmod(F.xxhash64("cid"), k)).withColumn("k", k)
@@ -321,11 +391,16 @@ def by_tree(rows: DataFrame) -> DataFrame:
     dealt = cut.withColumn("cell", F.explode(cell))
 
     def find(cid: np.ndarray, n: np.ndarray, lab: np.ndarray, vec: np.ndarray) -> Iterator[tuple[int, int]]:
-        for i, j in tree_pairs(n, vec):
-            apart = lab[i] != lab[j]
-            yield from zip(np.minimum(cid[i], cid[j])[apart].tolist(), np.maximum(cid[i], cid[j])[apart].tolist(), strict=True)
+        found = tree_pairs(n, lab, vec)
+        if best:
+            top: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+            for more in found:
+                top = best_of(lab, *(more if top is None else map(np.concatenate, zip(top, more, strict=True))))
+            found = iter([top] if top else [])
+        for i, j, _ in found:
+            yield from zip(np.minimum(cid[i], cid[j]).tolist(), np.maximum(cid[i], cid[j]).tolist(), strict=True)
 
-    return _pairs(dealt.select("token", "cell", "cid", "n", "lab", "vec"), ["token", "cell"], ["cid", "n", "lab"], find)
+    return _pairs(dealt.select("token", "cell", "cid", "n", "lab", "wide"), ["token", "cell"], ["cid", "n", "lab"], "wide", find)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -378,22 +453,18 @@ def open_buckets(rows: DataFrame, lab: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, for each row."""
     docs = docs.select("doc_id", "text")
-    sets = written(set_table(docs), "sets")
-    full = sets.where("n > 0")
-    classes = full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"))
-    rows = buckets(docs, classes)
+    table = written(set_table(docs), "sets")
+    sets = table.where("cid IS NOT NULL").drop("tokens", "counts")
+    classes = sets.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("wide").alias("wide"))
+    rows = buckets(docs, classes, frequent(table))
     texts = class_texts(docs, sets, rows)
 
     links = verified(by_leaders(rows), texts)
     lab = components(links)
-    # second round: one class of each component in each open bucket
-    rest = open_buckets(rows, lab)
-    heads = rest.groupBy("token", "lab").agg(F.min_by(F.struct("cid", "n", "vec"), "cid").alias("h"), F.first("size").alias("size")).select("token", "size", "h.*")
-    links = links.union(verified(by_leaders(heads), texts))
-    lab = components(links)
-    rest = open_buckets(rows, lab)
-    links = links.union(verified(by_tree(rest), texts))
-    lab = components(links)
+    for best in (True, False):
+        rest = open_buckets(rows, lab).join(classes.select("cid", "wide"), "cid")
+        links = links.union(verified(by_tree(rest, best), texts))
+        lab = components(links)
 
     named = sets.join(lab, "cid", "left").withColumn("comp", F.coalesce("lab", "cid"))
     least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -403,17 +474,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def class_texts(docs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(cid, text) of the classes in buckets, one text a class, written once."""
-    wanted = written(sets.where("doc_id IS NOT NULL").join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    one = F.min(F.struct("doc_id", "mark")).alias("d")
+    wanted = sets.join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(one).select("cid", F.col("d.doc_id").alias("_id"), F.col("d.mark").alias("_mark"))
+    wanted = written(wanted, "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # of rows that share a doc_id, the one whose set it is
-            mask = pa.array([class_id(shingles(t)) == c for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["cid", "text"])
-
-    one = found.select("cid", "text").mapInArrow(run, "cid long, text string")
-    return written(one, "texts").dropDuplicates(["cid"])
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["mark"] == F.col("_mark"))
+    found = marked.join(F.broadcast(wanted) if few else wanted, same)
+    return written(found.select("cid", "text"), "texts").dropDuplicates(["cid"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
