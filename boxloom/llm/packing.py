@@ -1,8 +1,8 @@
 """Packing documents into sequences by cutting-stock column generation.
 
 A document's tokens are its ids and one end id.  It is cut into full sequences,
-then a piece of whole units (UNIT tokens each), then a tail of less than a unit,
-so piece lengths fall into a fixed number of classes whatever the corpus.  The
+a half and a quarter of one where they fit, then a piece of whole units (UNIT
+tokens each), then a tail of less than a unit, so piece lengths fall into a fixed number of classes whatever the corpus.  The
 histogram of the classes is a cutting-stock problem: a linear program over
 patterns (how many pieces of each class share a sequence), solved by column
 generation with the revised simplex method; a knapsack over the capacity prices
@@ -10,7 +10,7 @@ the next column.  Whole multiples of each pattern are taken, what is left over
 is packed greedily by class counts, and the pieces of each class, ranked, are
 dealt to the patterns' places by arithmetic.
 
-Only the histogram (at most 95 rows) reaches the driver; the pattern table
+Only the histogram (at most 73 rows) reaches the driver; the pattern table
 (at most a few hundred patterns) is broadcast.  Null text is empty and packs its
 end id alone.  Rows with equal doc_id are packed each on their own.
 """
@@ -37,9 +37,16 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cuts(n: int, capacity: int, unit: int) -> list[int]:
-    """Lengths of a document's pieces, in order."""
+    """Lengths of a document's pieces, in order: full sequences, then halves and
+    quarters of one, then whole units, then the tail.  Without the halves,
+    remainders of just over half a sequence could not share one."""
     full, rest = divmod(n, capacity)
-    return [capacity] * full + [x for x in (rest - rest % unit, rest % unit) if x]
+    out = [capacity] * full
+    for part in (capacity // 2, capacity // 4):
+        if rest >= part:
+            out.append(part)
+            rest -= part
+    return out + [x for x in (rest - rest % unit, rest % unit) if x]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID) -> DataFrame:

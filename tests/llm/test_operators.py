@@ -1,0 +1,213 @@
+"""Small tables with nulls, empty and repeated rows, against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from boxloom.llm import bpe, decontam, html_text, jaccard, language, line_dedup, packing, pii, quality, sharding, token_counts
+from boxloom.llm.queries import vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, cid string, rank int"
+LINE = "This Line is repeated in many of the documents, word for word."
+BASE = " ".join(f"w{i}" for i in range(60))
+NEAR = BASE.replace("w30", "x")
+TEXTS = [None, "", " \n\t", "one two", BASE, BASE, NEAR, BASE.upper(), *[f"{LINE}\n body {i} mail a{i}@x.org" for i in range(6)], "Mail me@a.b, ip 10.0.0.999 or 10.0.0.1; +1 (988) 555-2485, 4111 1111 1111 1111", "word " * 3000, "Ünïcödé Σ 日本 <|endoftext|> don't"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 3 else None, "s", len(t or ""), 1, "c", 2) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, (None, "no id here", "en", "s", 1, 1, "c", 2), rows[4]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_quality(spark, docs, none):
+    labels = spark.createDataFrame([(4, 1, 0), (4, None, None), (None, 1, 0), (999, 0, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(quality.judge(docs, labels))
+    for i, t in enumerate(TEXTS):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        repeat = {k + j for k in range(len(words) - 2) for j in range(3) if windows[tuple(words[k : k + 3])] > 1}
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_repeat_words"]) == (len(words), sum(map(len, words)), len(repeat))
+        assert got[i]["kept"] == (not (len(words) < 50 or 100 * len(repeat) > 50 * len(words)))
+    assert quality.judge(none, labels).count() == 0
+
+
+def test_quality_rule_is_safe(spark):
+    good = [(i, " ".join(f"w{i}a{k}" for k in range(60)), "en") for i in range(3000)]
+    bad = [(9000 + i, " ".join(f"$$$&&&***{k}" for k in range(60)), "en") for i in range(5)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in good], "doc_id long, quality int")
+    got = by_id(quality.judge(docs, labels))
+    assert all(got[i]["kept"] for i, _, _ in good) and not any(got[i]["kept"] for i, _, _ in bad)
+
+
+def test_jaccard(docs, none):
+    got = by_id(jaccard.near_duplicates(docs))
+    sets = {}
+    for i, t in enumerate(TEXTS):
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        assert got[i]["n_shingles"] == len(sets[i])
+    assert [got[i]["component_id"] for i in (4, 5, 6, 7)] == [4] * 4 and got[0]["component_id"] == 0 and got[1]["component_id"] == 1
+    assert jaccard.near_duplicates(none).count() == 0
+
+
+def test_jaccard_large_groups(spark, monkeypatch):
+    """Chains and many copies, in buckets of several chunks."""
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    words = [f"q{i}" for i in range(80)]
+    texts = []
+    for i in range(40):
+        w = list(words)
+        for k in range(i):
+            w[2 * k] = f"y{k}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(jaccard.near_duplicates(docs))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(76)} for t in texts]
+    comp = list(range(40))
+    for _ in range(40):
+        for a in range(40):
+            for b in range(40):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    assert [got[i]["component_id"] for i in range(40)] == comp
+
+
+def test_line_dedup(docs, none):
+    got = by_id(line_dedup.line_digest(docs))
+    assert [got[i]["n_dropped"] for i in range(8, 14)] == [1] * 5 + [0] and got[0]["n_lines"] == 1
+    assert got[0]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[8]["kept_sha256"] == hashlib.sha256(TEXTS[8].split("\n")[1].encode()).hexdigest()
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and by_id(out)[8]["n_chars"] == len(TEXTS[8].split("\n")[1])
+    assert line_dedup.line_digest(none).count() == 0
+
+
+def test_line_runs_keep_levels(spark):
+    runs = line_dedup.LineRuns(spark)
+    for i in range(5):
+        runs.add(spark.createDataFrame([(i, 1, 1), (i, 2, i)], line_dedup.PAIR))
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    assert {(r["h1"], r["h2"]): (r["n_docs"], r["max_doc"]) for r in runs.all().collect()}[1, 1] == (5, 4)
+    assert runs.unseen(spark.createDataFrame([(9, 1, 1), (9, 7, 7)], line_dedup.PAIR)).count() == 1
+
+
+def test_decontamination(spark, docs, none):
+    items = [(1, " ".join(f"W{i}" for i in range(10, 30))), (2, "one two"), (3, None), (None, "one"), (4, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontam.contamination_digest(docs, bench))
+    assert (got[4]["n_hit"], got[6]["n_hit"], got[3]["n_hit"], got[3]["n_items"]) == (20, 20, 2, 1) and got[4]["contaminated"] and not got[0]["contaminated"]
+    assert got[3]["items_sha256"] == hashlib.sha256(b"2").hexdigest()
+    assert decontam.contamination_digest(none, bench).count() == 0
+    assert decontam.contamination_digest(docs, bench.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_sharding(docs, none, spark):
+    rows = sharding.assign_shards(docs).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 24)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and len(rows) == len(TEXTS) + 2
+    assert {r["text_crc32"] for r in rows if r["doc_id"] == 4} == {zlib.crc32(BASE.encode())}
+    assert sharding.assign_shards(none).count() == 0
+    many = sharding.descend(spark.range(24000), sharding.F.col("id"), [1.0] * 12 + [2.0] * 12, "shard").groupBy("shard").count().collect()
+    assert all(abs(r["count"] / (24000 * (2 if r["shard"] >= 12 else 1) / 36) - 1) < 0.2 for r in many) and len(many) == 24
+
+
+def test_language(spark, docs, none):
+    train = [(i, t, x) for i in range(60) for t, x in [("the house and the dog", "en")] if i % 2] + [(i, "das haus und der hund", "de") for i in range(0, 60, 2)]
+    got = by_id(language.identify(spark.createDataFrame([*train, (100, "the dog", None), (101, "Hunde und Häuser", None), (102, "123 ?", "en"), (103, None, "en")], "doc_id long, text string, lang string")))
+    assert [got[i]["lang_pred"] for i in (100, 101, 102, 103)] == ["en", "de", "und", "und"]
+    assert language.identify(none).count() == 0 and language.identify(docs).count() == len(TEXTS) + 2
+
+
+def test_html():
+    page = """<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy &amp; go</div>
+    <article><h1>Title</h1><p>A &lt;b&gt;\n  c<br>d</p><p>Ti.</p><div class="comments"><p>nice</p></div></article><footer>f</footer></body></html>"""
+    assert html_text.main_text(page) == "Title\nA <b> c d\nTi."
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
+    plain = "<div><a href=x>home</a></div>" + "<p>" + "long text here " * 20 + "</p><p>Hm.</p><p>" + "more text " * 20 + "</p>"
+    assert html_text.main_text(plain).split("\n")[1] == "Hm."
+
+
+def test_tokens(docs, none):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary())
+    want = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
+    got = by_id(token_counts.count_tokens(docs, vocabulary()))
+    assert {i: got[i]["n_tokens"] for i in want} == {i: len(x) for i, x in want.items()}
+    ids = bpe.WordEndIds(vocabulary()).encode_batch(TEXTS)
+    assert [list(memoryview(x).cast("I")) for x in ids] == list(want.values())
+    assert token_counts.count_tokens(none, vocabulary()).count() == 0
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary())
+    rows = packing.pack(docs, vocabulary()).collect()
+    seqs, pieces = defaultdict(list), defaultdict(list)
+    for r in rows:
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"]].append(r)
+    for parts in seqs.values():
+        at = 0
+        for off, n in sorted(parts):
+            assert off == at
+            at += n
+        assert at <= 2048
+    for i, t in enumerate(TEXTS):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+        for r in pieces[i]:
+            part = ids[r["start"] : r["start"] + r["length"]]
+            assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)) and r["doc_tokens"] == len(ids)
+    assert len(seqs) <= sum(r["length"] for r in rows) // 2048 + 2
+    assert packing.pack(none, vocabulary()).count() == 0
+
+
+def test_packing_plan():
+    demand = Counter(c for n in [1100] * 500 + [2040] * 300 + list(range(1, 5000, 7)) for c in packing.cuts(n, 2048, 64))
+    used = Counter()
+    total = 0
+    for pattern, times in packing.plan(demand):
+        assert sum(s * n for s, n in pattern.items()) <= 2048
+        total += times
+        for s, n in pattern.items():
+            used[s] += n * times
+    assert used == demand and total <= sum(s * n for s, n in demand.items()) / 2048 + 3
+
+
+def test_pii(docs, none):
+    got = by_id(pii.pii_digest(docs))
+    t = TEXTS[14]
+    want = [("email", "me@a.b"), ("ip", "10.0.0.1"), ("phone", "+1 (988) 555-2485"), ("card", "4111 1111 1111 1111")]
+    spans = ",".join(f"{k}:{t.rindex(x)}:{t.rindex(x) + len(x)}" for k, x in want)
+    assert got[14]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest(), got[14]["spans"]
+    assert got[0]["n_email"] == 0 and got[0]["spans"] == "" and pii.pii_digest(none).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(70)), "en", "s", 1) for i in range(6)]
+    rows += [(6, rows[0][1] + " end", "en", "s", 1), (7, "short", "en", "s", 1), (8, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[3][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {0, 1, 2, 4, 5}
