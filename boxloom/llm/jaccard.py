@@ -20,8 +20,11 @@ loss, and the count-vector tree works within them:
    R-tree of their points: node pairs whose bound is below the overlap needed,
    or of one component, are dropped.  First the best surviving pair of each two
    components is verified, which joins most of those that do link; then all
-   surviving pairs of components that are still apart.  Large buckets are dealt in pairs of chunks, so every pair is seen and no task holds
-   a whole bucket.
+   surviving pairs of components that are still apart.  Large buckets are dealt
+   in pairs of chunks, so every pair is seen and no task holds a whole bucket.
+   Each class carries the FIRST least tokens of its buckets; a pair that meets in
+   a bucket of a lesser token, as these show, is left to that bucket.  The bucket
+   of a pair's least token always keeps it.
 
 Within a component no further pair is tested: its links can't change it.  Hashes
 have 64 bits.
@@ -50,6 +53,7 @@ GROUPS = 32
 WIDE = 256
 CHUNK = 1500
 LEAF = 16
+FIRST = 16
 MAX_FREQUENT = 200_000
 FREQUENT = 16
 COUNT_AT_ONCE = 4_000_000
@@ -272,12 +276,19 @@ def _arrays(t: pa.Table, cut: list[int], keys: int) -> Iterator[tuple[np.ndarray
     t = t.combine_chunks()
     raw = t.column(t.num_columns - 1).to_pylist()
     vec = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-    cols = [t.column(k).to_numpy() for k in range(keys, t.num_columns - 1)]
+    cols = [_column(t.column(k)) for k in range(keys, t.num_columns - 1)]
     for lo, hi in zip(cut, cut[1:], strict=False):
         if hi - lo > 1:
             yield (*(c[lo:hi] for c in cols), vec[lo:hi])
 
 
+def _column(c: pa.ChunkedArray) -> np.ndarray:
+    """A column as an array; lists, all of one length, as rows."""
+    if not pa.types.is_list(c.type):
+        return c.to_numpy()
+    return c.combine_chunks().flatten().to_numpy().reshape(len(c), -1)
+
+
 def leader_pairs(cid: np.ndarray, n: np.ndarray, vec: np.ndarray) -> list[tuple[int, int]]:
     """(class, leader) in one bucket, at most one pair a class."""
     vec = np.ascontiguousarray(vec).view("<i4")
@@ -381,17 +392,44 @@ def best_of(lab: np.ndarray, i: np.ndarray, j: np.ndarray, margin: np.ndarray) -
     return i[at], j[at], margin[at]
 
 
+def first_tokens(rows: DataFrame) -> DataFrame:
+    """(cid, least): the FIRST least tokens of a class's buckets, the last one
+    repeated where there are fewer."""
+    some = F.slice(F.array_sort(F.collect_list("token")), 1, FIRST)  # a prefix, no longer than the text
+    some = rows.groupBy("cid").agg(some.alias("some"))
+    return some.select("cid", F.slice(F.concat("some", F.array_repeat(F.element_at("some", -1), FIRST)), 1, FIRST).alias("least"))
+
+
+def met_before(token: int, least: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the classes i and j share a known token below this one."""
+    a, b = least[i], least[j]
+    out = np.zeros(len(i), bool)
+    for k in range(least.shape[1]):
+        out |= ((a == b[:, k : k + 1]).any(1)) & (b[:, k] < token)
+    return out
+
+
 def by_tree(rows: DataFrame, best: bool) -> DataFrame:
     """Candidate pairs between components (lab): all of them, or the best pair
     of each two components in a bucket.  A bucket of k chunks becomes
-    its pairs of chunks, so all its pairs meet in some group."""
+    its pairs of chunks, so all its pairs meet in one group."""
     k = F.ceil(F.col("size") / CHUNK)
-    cut = rows.withColumn("chunk", F.pmod(F.xxhash64("cid"), k)).withColumn("k", k)
-    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.least(F.col("chunk"), o) * F.col("k") + F.greatest(F.col("chunk"), o))
-    dealt = cut.withColumn("cell", F.explode(cell))
-
-    def find(cid: np.ndarray, n: np.ndarray, lab: np.ndarray, vec: np.ndarray) -> Iterator[tuple[int, int]]:
-        found = tree_pairs(n, lab, vec)
+    cut = rows.join(first_tokens(rows), "cid").withColumn("chunk", F.pmod(F.xxhash64("cid"), k)).withColumn("k", k)
+    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    cell = F.least("chunk", "o") * F.col("k") + F.greatest("chunk", "o")
+    # 0: a chunk with itself; -1 and 1: the two chunks of other groups, where only pairs across count
+    dealt = cut.withColumn("cell", cell).withColumn("side", F.signum(F.col("chunk") - F.col("o")).cast("long")).withColumn("home", F.col("token"))
+
+    def find(cid: np.ndarray, n: np.ndarray, lab: np.ndarray, side: np.ndarray, home: np.ndarray, least: np.ndarray, vec: np.ndarray) -> Iterator[tuple[int, int]]:
+        def here() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for found in tree_pairs(n, lab, vec):
+                i, j, _ = found
+                keep = (side[i] == 0) | (side[i] != side[j])
+                keep[keep] = ~met_before(home[0], least, i[keep], j[keep])
+                if keep.any():
+                    yield tuple(x[keep] for x in found)
+
+        found = here()
         if best:
             top: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
             for more in found:
@@ -400,7 +438,7 @@ def by_tree(rows: DataFrame, best: bool) -> DataFrame:
         for i, j, _ in found:
             yield from zip(np.minimum(cid[i], cid[j]).tolist(), np.maximum(cid[i], cid[j]).tolist(), strict=True)
 
-    return _pairs(dealt.select("token", "cell", "cid", "n", "lab", "wide"), ["token", "cell"], ["cid", "n", "lab"], "wide", find)
+    return _pairs(dealt, ["token", "cell"], ["cid", "n", "lab", "side", "home", "least"], "wide", find)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
