@@ -15,8 +15,8 @@ import unicodedata
 import numpy as np
 
 #: Entries a cache takes before the older half of it is dropped.  Workers are kept
-#: between stages, and so is this memory: about 100 MB a worker.
-MAX_CACHE = 200_000
+#: between stages, and so is this memory: about 150 MB a worker.
+MAX_CACHE = 300_000
 #: Longer keys are counted each time, so that the cache's memory is bounded.
 LONG_KEY = 64
 BASE = 1 << 16
