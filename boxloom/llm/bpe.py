@@ -14,6 +14,8 @@ import unicodedata
 
 import numpy as np
 
+from boxloom.llm.common import CACHES
+
 #: Entries a cache takes before the older half of it is dropped.  Workers are kept
 #: between stages, and so is this memory: about 150 MB a worker.
 MAX_CACHE = 300_000
@@ -334,3 +336,6 @@ def word_ends(path: str) -> WordEnds:
 @functools.cache
 def word_end_ids(path: str) -> WordEndIds:
     return WordEndIds(path)
+
+
+CACHES += [word_ends.cache_clear, word_end_ids.cache_clear]

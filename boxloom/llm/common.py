@@ -1,16 +1,24 @@
-"""What the operators share: the written table that cuts lineage, exact ranks."""
+"""What the operators share: the written table that cuts lineage, exact ranks,
+Python tasks that give their memory back."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
 LOCAL_FALLBACK = "/tmp/checkpoints"
+#: What empties the caches that a worker keeps between tasks.
+CACHES: list[Callable[[], None]] = []
+
+Batches = Iterable[pa.RecordBatch]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +36,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def frugal(run: Callable[[Batches], Iterator[pa.RecordBatch]], keep_caches: bool = False) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """run() for mapInArrow.  Spark keeps Python workers for later stages, and
+    with them all they hold: caches of other operators go before the task, and
+    freed memory goes back to the system after it."""
+
+    def task(batches: Batches) -> Iterator[pa.RecordBatch]:
+        if not keep_caches:
+            for empty in CACHES:
+                empty()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.llm.common import frugal
+
 WINDOW = 3
 THRESHOLD = 60
 INSIDE = 1000
@@ -168,4 +170,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return slim.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return slim.mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long")

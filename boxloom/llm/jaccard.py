@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import written
+from boxloom.llm.common import frugal, written
 
 SHINGLE = 5
 NUM, DEN = 4, 5
@@ -193,7 +193,7 @@ def set_table(docs: DataFrame) -> DataFrame:
             yield report()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return slim.mapInArrow(run, SETS)
+    return slim.mapInArrow(frugal(run), SETS)
 
 
 def frequent(sets: DataFrame) -> np.ndarray:
@@ -237,7 +237,7 @@ def incidence(docs: DataFrame, order: np.ndarray) -> DataFrame:
                     ids.append(np.full(len(p), c, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], ["token", "cid"])
 
-    return docs.select("text").mapInArrow(run, "token long, cid long")
+    return docs.select("text").mapInArrow(frugal(run), "token long, cid long")
 
 
 def buckets(docs: DataFrame, classes: DataFrame, order: np.ndarray) -> DataFrame:
@@ -374,7 +374,7 @@ def _pairs(rows: DataFrame, keys: list[str], cols: list[str], point: str, find)
         yield pack()
 
     dealt = rows.select(*keys, *cols, point).repartition(*keys).sortWithinPartitions(*keys, "cid")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def by_leaders(rows: DataFrame) -> DataFrame:
@@ -463,7 +463,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     heads = sized(pairs.select("b").distinct())
     right = texts.withColumnRenamed("cid", "b").withColumnRenamed("text", "tb").join(heads, "b", "left_semi")
     both = left.join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
-    return written(both.mapInArrow(run, "a long, b long"), "links")
+    return written(both.mapInArrow(frugal(run), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

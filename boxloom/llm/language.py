@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxloom.llm.common import frugal
+
 FOLDS = 5
 SAMPLE_DOCS = 800
 MAX_GRAMS = 20_000
@@ -134,4 +136,4 @@ def identify(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = MAX_GRAMS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return slim.mapInArrow(frugal(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import shared_dir, written
+from boxloom.llm.common import frugal, shared_dir, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -63,7 +63,7 @@ def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     two.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "h1", "h2"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, PAIR)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(frugal(run), PAIR)
 
 
 class LineRuns:
@@ -152,7 +152,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             cols = [pa.array(new, b.schema.field(n).type) if n == "text" else b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = _joined(docs, dropped_keys(docs, min_chars, min_docs, batches)).mapInArrow(run, schema)
+    out = _joined(docs, dropped_keys(docs, min_chars, min_docs, batches)).mapInArrow(frugal(run), schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
@@ -172,4 +172,4 @@ def line_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha)], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _joined(slim, dropped_keys(slim, min_chars, min_docs, batches)).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _joined(slim, dropped_keys(slim, min_chars, min_docs, batches)).mapInArrow(frugal(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm.bpe import word_end_ids
-from boxloom.llm.common import ranked, written
+from boxloom.llm.common import frugal, ranked, written
 
 CAPACITY = 2048
 UNIT = 64
@@ -71,7 +71,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, uni
                         at += size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run, keep_caches=True), PIECE)
 
 
 def spans(texts: list[str | None], most: int = TEXTS_AT_ONCE) -> list[int]:

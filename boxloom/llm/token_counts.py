@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.bpe import word_ends
+from boxloom.llm.common import frugal
 
 LIMIT = 2048
 
@@ -27,5 +28,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
 
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    out = slim.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    out = slim.mapInArrow(frugal(run, keep_caches=True), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
