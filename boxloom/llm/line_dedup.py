@@ -30,6 +30,9 @@ from boxloom.llm.common import frugal, shared_dir, written
 MIN_CHARS = 40
 MIN_DOCS = 5
 FANOUT = 2
+#: Lines that hold this share of all pairs (one in HEAVY) are joined by broadcast;
+#: there are HEAVY of them at most.
+HEAVY = 1000
 NO_ID = -(2**63)
 SPACES = b" \t\n\v\f\r"
 PAIR = "doc_id long, h1 long, h2 long"
@@ -109,14 +112,20 @@ class LineRuns:
 
 
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 3) -> DataFrame:
-    """(doc_id, drops): for each document that loses lines, their hashes."""
+    """(doc_id, drops): for each document that loses lines, their hashes.
+
+    The heaviest lines meet the pairs by broadcast, so that no task gets all
+    pairs of one line; the other lines are shuffled."""
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
     pairs = written(line_pairs(docs, min_chars).select("*", batch), "line-pairs")
     runs = LineRuns(docs.sparkSession)
     for b in range(batches):
         runs.add(pairs.where(F.col("batch") == b).drop("batch"))
-    hot = runs.all().where(F.col("n_docs") >= min_docs)
-    gone = pairs.drop("batch").join(hot, ["h1", "h2"]).where("doc_id <> max_doc")
+    hot = written(runs.all().where(F.col("n_docs") >= min_docs), "hot-lines")
+    heavy = F.col("n_docs") * HEAVY >= pairs.count()  # the n_docs sum to this count at most
+    few, pairs, key = F.broadcast(hot.where(heavy)), pairs.drop("batch"), ["h1", "h2"]
+    rest = pairs.join(few.select(*key), key, "left_anti").join(hot.where(~heavy), key)
+    gone = pairs.join(few, key).unionByName(rest).where("doc_id <> max_doc")
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
 

@@ -96,6 +96,12 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_digest(none).count() == 0
 
 
+def test_line_dedup_heavy_and_light_agree(docs, monkeypatch):
+    heavy = line_dedup.line_digest(docs).collect()
+    monkeypatch.setattr(line_dedup, "HEAVY", 0)  # no line is heavy
+    assert sorted(map(str, line_dedup.line_digest(docs).collect())) == sorted(map(str, heavy))
+
+
 def test_line_runs_keep_levels(spark):
     runs = line_dedup.LineRuns(spark)
     for i in range(5):
