@@ -31,6 +31,7 @@ from boxloom.llm.common import frugal
 
 FOLDS = 5
 SAMPLE_DOCS = 800
+TEAMS = 256
 MAX_GRAMS = 20_000
 ORDERS = (4, 3, 2, 1)
 CACHE = 300_000
@@ -45,8 +46,11 @@ def held_out(doc_id: Column) -> Column:
 def counts(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = MAX_GRAMS) -> DataFrame:
     """(lang, size, gram, n): size 0 for words, else the n-gram's order."""
     pool = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = pool.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).select("doc_id").distinct()
+    ids = pool.select("doc_id", "lang", (F.spark_partition_id() % TEAMS).alias("_team"))
+    for group in (["lang", "_team"], ["lang"]):  # the first of each team, then of those: no task gets a row of every partition
+        first = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).drop("_n")
+    ids = ids.select("doc_id").distinct()
     chosen = pool.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `sample` ids a language
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     marked = F.concat(F.lit("<"), F.col("gram"), F.lit(">"))
