@@ -129,7 +129,9 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, d
     losses = [F.count_if(F.col(r) > c).alias(f"{r}:{i}") for r, g in grids.items() for i, c in enumerate(g)]
     counts = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *losses)
     tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}:{i}`").alias("k")) for r, g in grids.items() for i, c in enumerate(g)])
-    rows = counts.select("stratum", "n", F.count("*").over(Window.partitionBy(F.lit(0))).alias("strata"), F.explode(tests).alias("t")).select("stratum", "n", "strata", "t.*")
+    # counted before the tests are exploded: in one select Spark explodes first, and the count would be of tests
+    counts = counts.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0))))
+    rows = counts.select("stratum", "n", "strata", F.explode(tests).alias("t")).select("stratum", "n", "strata", "t.*")
     p = binomial_cdf(F.col("k"), F.col("n"), risk / len(grids))
     walk = Window.partitionBy("stratum", "rule").orderBy("i")
     passed = rows.withColumn("safe", p <= F.lit(delta) / (F.col("strata") * len(grids)))

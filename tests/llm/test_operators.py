@@ -5,10 +5,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 from boxloom.llm import bpe, decontam, html_text, jaccard, language, line_dedup, packing, pii, quality, sharding, token_counts
-from boxloom.llm.queries import vocabulary
+from boxloom.llm.queries import ORACLES, QUERIES, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, cid string, rank int"
 LINE = "This Line is repeated in many of the documents, word for word."
@@ -53,6 +54,23 @@ def test_quality_rule_is_safe(spark):
     assert all(got[i]["kept"] for i, _, _ in good) and not any(got[i]["kept"] for i, _, _ in bad)
 
 
+def test_quality_level_counts_strata(spark, tmp_path):
+    """Four strata, one with labels enough for its share of delta: as in the SQL."""
+    from compare import both
+
+    rows = [(i, " ".join(f"w{i}a{k}" for k in range(55)), "en" if i < 1800 else ("de", "es", "fr")[i % 3], 1) for i in range(1830)]
+    rows += [(9000 + i, " ".join(f"$$$&&&***{k}" for k in range(60)), x, 0) for i, x in enumerate(("en", "de", "es", "fr"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    df.select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/d")
+    df.select("doc_id", "quality").write.parquet(f"{tmp_path}/l")
+    for folder, name in (("d", "documents"), ("l", "labels")):
+        pq.write_table(pq.read_table(f"{tmp_path}/{folder}"), f"{tmp_path}/{name}.parquet")
+    got, want = both(spark, QUERIES["op1_quality_rules"], ORACLES["op1_quality_rules"], str(tmp_path))
+    assert got == want
+    kept = by_id(QUERIES["op1_quality_rules"](spark, str(tmp_path)))
+    assert [kept[9000 + i]["kept"] for i in range(4)] == [False, True, True, True]
+
+
 def test_jaccard(docs, none):
     got = by_id(jaccard.near_duplicates(docs))
     sets = {}
