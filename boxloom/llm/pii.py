@@ -34,7 +34,8 @@ PATTERNS = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]{2}", "phone": "\\+[0-9]"}
+# Each hint is implied by its pattern: a text without it has no match.
+HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
 
 # Candidate patterns beyond the base, and cue words.
 EXTRA = {
@@ -43,6 +44,7 @@ EXTRA = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "tel": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
+EXTRA_HINTS = {"secret": "AKIA|[0-9a-f]{16}", "ssn": "[0-9]{2}", "iban": "[0-9]{2}", "tel": "[0-9]{2}"}
 CUES = r"(?i)(password|passwd|token|secret|key|api|ssn|social|iban|account|konto|compte|cuenta|phone|tel|call|mobile|fax|mail|card|login)"
 COUNTERCUES = r"(?i)(version|section|page|chapter|license|licence|isbn|issn|figure|table|cc by)"
 VOTES = ("shape", "rule", "cue", "mark", "mixed")
@@ -95,7 +97,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     found = F.concat(
         *[_matches(text, k, PATTERNS[k], HINTS[k]) for k in KINDS],
-        *[_matches(text, k, p, "[0-9]{2}") for k, p in EXTRA.items()],
+        *[_matches(text, k, p, EXTRA_HINTS[k]) for k, p in EXTRA.items()],
     )
     rows = docs.select("doc_id", "_text", F.explode_outer(found).alias("m")).where("m IS NOT NULL").select("doc_id", "_text", "m.*").distinct()
     run = Window.partitionBy("doc_id", "_text", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
