@@ -2,14 +2,15 @@
 
 Markup is stripped to one line per block element.  Text lengths are summed over
 sliding windows of lines; where the sum surges above a threshold the main text
-begins, where it dives below it the text ends, and everything between the surge
-and the dive of the weightiest stretch stays, short lines included.
+begins, where it dives below it the text ends.  Every such stretch stays, short
+lines included, and so do lines with a weight between two stretches.
 
 Lines weigh their own text; link text, and what stands outside <article> or
 <main> where a page has one, weighs nothing.  Elements that are boilerplate by
 name or by class, id or role are left out while stripping, so their lines are
-not seen at all.  A page whose lines never reach the threshold keeps its
-weightiest line's stretch; a page without text gives ''.
+not seen at all; but <article> or <main> ends a left-out <form> round it, and a
+left-out element before it that is never closed.  A page whose lines never reach
+the threshold keeps its weightiest line's stretch; a page without text gives ''.
 
 Null html counts as empty; each row gets one row; only page_id, url and html are
 read.
@@ -67,6 +68,20 @@ def boilerplate(name: str, attrs: str) -> bool:
     return bool(words & BOILERPLATE) and name not in WHOLE and not words & CONTENT
 
 
+def unclosed(page: str) -> set[int]:
+    """Where the elements left out by name start that are never closed."""
+    opened: dict[str, list[int]] = {}
+    for m in _TAG.finditer(page):
+        name = m[2].lower()
+        if name in LEFT_OUT and not m[3].endswith("/"):
+            at = opened.setdefault(name, [])
+            if not m[1]:
+                at.append(m.start())
+            elif at:
+                at.pop()
+    return {x for at in opened.values() for x in at}
+
+
 def text_lines(html: str) -> tuple[list[str], list[int]]:
     """One line a block, and its weight."""
     page = _RAW_TEXT.sub(" ", _COMMENT.sub("", html))
@@ -76,7 +91,17 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
     linked = inside = link = 0
     seen_whole = False
     outside: list[int] = []
-    skip, depth = "", 0
+    skip, depth, skip_at = "", 0, 0
+    never: set[int] | None = None
+
+    def ends_skip() -> bool:
+        """Whether <article> or <main> ends what is being left out."""
+        nonlocal never
+        if skip not in LEFT_OUT or skip == "form":
+            return True
+        if never is None:
+            never = unclosed(page)
+        return skip_at in never
 
     def flush() -> None:
         nonlocal linked
@@ -99,7 +124,7 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
         at = m.end()
         close, name = bool(m[1]), m[2].lower()
         if skip:
-            if name in WHOLE and not close and skip != name and skip not in LEFT_OUT:
+            if name in WHOLE and not close and skip != name and ends_skip():
                 skip = ""  # an unclosed box doesn't swallow the article
             else:
                 if name == skip and not m[3].endswith("/"):
@@ -110,7 +135,7 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
         if not close and name not in VOID and not m[3].endswith("/") and boilerplate(name, m[3]):
             if name in BLOCKS:
                 flush()
-            skip, depth = name, 1
+            skip, depth, skip_at = name, 1, m.start()
             continue
         if name in BLOCKS:
             flush()
@@ -130,35 +155,37 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
     return lines, weights
 
 
-def stretch(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> tuple[int, int]:
-    """First line and the line after the last of the main text."""
+def main_lines(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[int]:
+    """The lines of the main text: all of each stretch, and what weighs between."""
     n = len(weights)
     if not n or not any(weights):
-        return 0, 0
+        return []
     half = window // 2
     sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(n)]
     limit = threshold if max(sums) >= threshold else max(sums)
-    best, start = (0, 0, 0), None
+    kept: list[int] = []
+    start = None
     for i in range(n + 1):
         up = i < n and sums[i] >= limit
         if up and start is None:
             start = i
         elif not up and start is not None:
-            if (total := sum(weights[start:i])) > best[0]:
-                best = (total, start, i)
+            lo, hi = start, i
+            while lo < hi and not weights[lo]:  # a window reaches past the text's own edge
+                lo += 1
+            while hi > lo and not weights[hi - 1]:
+                hi -= 1
+            if lo < hi:
+                between = range(kept[-1] + 1, lo) if kept else ()
+                kept += [k for k in between if weights[k]]
+                kept += range(lo, hi)
             start = None
-    _, lo, hi = best
-    while lo < hi and not weights[lo]:  # a window reaches past the text's own edge
-        lo += 1
-    while hi > lo and not weights[hi - 1]:
-        hi -= 1
-    return lo, hi
+    return kept
 
 
 def main_text(html: str | None) -> str:
     lines, weights = text_lines(html or "")
-    lo, hi = stretch(weights)
-    return "\n".join(lines[lo:hi])
+    return "\n".join(lines[i] for i in main_lines(weights))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -168,6 +168,24 @@ def test_html():
     assert html_text.main_text(plain).split("\n")[1] == "Hm."
 
 
+def test_html_keeps_every_stretch():
+    a, b, items = "a" * 400, "b" * 300, ["item1", "item2", "item3"]
+    plain = f"<p>{a}</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><p>{b}</p>"
+    assert html_text.main_text(plain).split("\n") == [a, *items, b]
+    between = "".join(f"<p>other {i}</p>" for i in range(5))
+    assert html_text.main_text(f"<article><p>{a}</p></article>{between}<article><p>{b}</p></article>") == f"{a}\n{b}"
+
+
+def test_html_left_out_elements_do_not_swallow_the_article():
+    a = f"<article><header>by</header><p>{'long text ' * 20}</p></article>"
+    want = ("long text " * 20).strip()
+    assert html_text.main_text(f"<body><form action=x><div>top</div>{a}<p>end</p></form></body>") == want
+    for name in ("nav", "header", "form", "aside"):
+        assert html_text.main_text(f"<body><{name}><a href=x>menu</a>{a}<nav>n</nav><footer>f</footer></body>") == want
+    closed = f"<aside><article><p>{'teaser ' * 20}</p></article></aside>"
+    assert html_text.main_text(f"<body>{closed}{a}</body>") == want  # a closed one is left out whole
+
+
 def test_tokens(docs, none):
     from tokenizers import Tokenizer
 
