@@ -2,12 +2,12 @@
 
 State: runs of (h1, h2, n_docs, max_doc), each sorted by hash, in levels.  A
 batch adds one run to level 0; FANOUT runs of a level are merged into one of the
-next, so the number of runs grows with the logarithm of the batches.  A batch's
-lines are anti-joined with the runs.
+next, so the number of runs grows with the logarithm of the batches.  unseen()
+anti-joins a batch's lines with the runs; the corpus rule doesn't use it.
 
 The corpus rule needs counts over all documents (a line goes where at least
-min_docs documents hold it, except in the largest doc_id), so its anti-join is
-made after the last batch, against the merged runs.
+min_docs documents hold it, except in the largest doc_id), so one join with the
+merged runs, after the last batch, takes the place of each batch's anti-join.
 
 A line's key is the line with white space stripped at both ends and A-Z
 lower-cased; a key's hash has 128 bits.  Null text counts as one empty line.  A
