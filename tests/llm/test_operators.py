@@ -266,3 +266,9 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, rows[3][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {0, 1, 2, 4, 5}
+
+
+def test_bench_has_every_corpus_query():
+    import bench
+
+    assert set(bench.LLM) == {*QUERIES, "pipeline"}
