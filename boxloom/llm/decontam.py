@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import written
+from boxloom.llm.common import sized, written
 
 WINDOW = 13
 GRAM = 8
@@ -86,10 +86,6 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return df.withColumn("_prints", F.array_distinct(least))
 
 
-def _sized(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, length, hash), written once."""
     items = with_hashes(benchmark.where("item_id IS NOT NULL").select("item_id", "text")).where("n_words > 0")
@@ -111,14 +107,14 @@ def document_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in short:
         marks = F.concat(marks, F.array_distinct(run_hash(k)))
     seen = fingerprints(with_hashes(docs)).select("doc_id", "_text", F.explode_outer(marks).alias("hash"))
-    wanted = seen.join(_sized(prints, prints.count()), "hash", "left_semi").select("doc_id", "_text").distinct()
+    wanted = seen.join(sized(prints, BROADCAST_ROWS), "hash", "left_semi").select("doc_id", "_text").distinct()
     candidates = written(wanted, "candidates")
 
-    near = _sized(candidates.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")), candidates.count())
+    near = sized(candidates.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")), BROADCAST_ROWS)
     chosen = docs.join(near, docs["doc_id"].eqNullSafe(near["_id"]) & (docs["_text"] == near["_t"]), "left_semi").distinct()
     spans = [F.transform(run_hash(k), _at(k)) for k in [*short, WINDOW]]
     runs = with_hashes(chosen).select("doc_id", "_text", F.explode_outer(F.concat(*spans) if len(spans) > 1 else spans[0]).alias("r")).select("doc_id", "_text", "r.*")
-    hits = runs.join(_sized(windows, windows.count()), ["hash", "length"])
+    hits = runs.join(sized(windows, BROADCAST_ROWS), ["hash", "length"])
     # a document's positions and items: bounded by its length and the benchmark
     per_item = hits.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set(F.struct("pos", "length"))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
 
@@ -144,10 +140,11 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with their columns."""
+    """The documents that aren't contaminated, with their columns, which may have
+    any name."""
     bad = document_hits(docs, benchmark).where(contaminated()).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).distinct()
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    return marked.join(bad, marked["doc_id"].eqNullSafe(bad["_id"]) & (marked["_text"] == bad["_t"]), "left_anti").drop("_text")
+    bad = written(bad, "contaminated")
+    return docs.join(sized(bad), docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_t"]), "left_anti")
 
 
 ORACLE_SQL = r"""
