@@ -2,14 +2,20 @@
 
 Each text is measured (features), then judged by rules "feature > cutoff".  The
 cutoffs are not chosen by hand: on the labelled documents of good quality (the
-holdout; nothing is fitted on them) each rule walks its fixed grid from lenient
-to strict in every stratum, and goes on while the exact binomial test rejects
-"more than the allowed share of good documents would be lost".  The p-value is
-P(Binomial(n, share) <= losses).  A fixed sequence needs no correction along
-the grid; rules and strata are corrected for (Bonferroni): each test has level
-delta / (rules * strata), and each rule the share risk / rules.  So, with
-probability 1 - delta, no stratum loses more than `risk` of its good documents
-to the rules.  A stratum with too few labels gets no cutoff, and keeps its rows.
+holdout; nothing is fitted on them) one fixed sequence of steps is walked in
+every stratum, rule after rule, each along its grid from lenient to strict.  A
+step's losses are the good documents that the rules as tightened so far reject
+together, and the walk goes on while the exact binomial test rejects "more than
+`risk` of the good documents would be lost": the p-value is
+P(Binomial(n, risk) <= losses).  A fixed sequence needs no correction along its
+steps, so neither along a grid nor over the rules; strata are corrected for
+(Bonferroni): each test has level delta / strata.  So, with probability
+1 - delta, no stratum loses more than `risk` of its good documents to the rules.
+
+A stratum with so few labels that not even a loss of none could pass is walked
+together with the other such strata, as one: the bound then holds for their
+pool, not for each of them.  If the pool is too small as well, or a stratum has no
+labelled good document, there is no cutoff and its rows stay.
 
 Texts: null or without words fails the base rules (no words).  A null lang is a
 stratum of its own.  A document counts as good if all its labels that aren't
@@ -19,30 +25,41 @@ count each.  Only doc_id, text and lang are read.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import SPACE, written
+from boxloom.llm.common import SPACE, sized, without, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 RISK = 0.02
 DELTA = 0.05
 STRATUM = "lang"
-BROADCAST_ROWS = 100_000
 
-#: Rules and their grids, lenient first.
+#: Rules in the order of the walk, and their grids, lenient first.  First come the
+#: measures that ordinary prose doesn't have at all.
 GRIDS = {
     "symbol_share": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.02],
-    "repeat_share": [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "dup_line_share": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1],
-    "shout_share": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1],
     "word_length": [40.0, 30.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0],
+    "shout_share": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1],
+    "dup_line_share": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1],
+    "repeat_share": [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1],
 }
 
 
+def steps(grids: dict) -> list[tuple[str, float, dict[str, float]]]:
+    """(rule, cutoff, all cutoffs at that step), in the order of the walk."""
+    out, now = [], {}
+    for rule, grid in grids.items():
+        for cutoff in grid:
+            now = now | {rule: cutoff}
+            out.append((rule, float(cutoff), now))
+    return out
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
@@ -103,8 +120,6 @@ def measure(docs: DataFrame) -> DataFrame:
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     """P(Binomial(n, p) <= k), exact, in logarithms; 1 where k >= n * p (such a
     count rejects nothing)."""
-    import math
-
     odds, none = math.log(p / (1 - p)), math.log1p(-p)
 
     def step(acc: Column, j: Column) -> Column:
@@ -125,19 +140,22 @@ def good_documents(labels: DataFrame) -> DataFrame:
 def select_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, stratum: str = STRATUM, grids: dict | None = None) -> DataFrame:
     """(stratum, one column a rule): the strictest cutoff proven safe, or null."""
     grids = grids or GRIDS
+    walk = steps(grids)
     good = measured.where(~F.col("base_failed")).join(good_documents(labels), "doc_id", "left_semi")
-    losses = [F.count_if(F.col(r) > c).alias(f"{r}:{i}") for r, g in grids.items() for i, c in enumerate(g)]
-    counts = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *losses)
-    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}:{i}`").alias("k")) for r, g in grids.items() for i, c in enumerate(g)])
-    # counted before the tests are exploded: in one select Spark explodes first, and the count would be of tests
-    counts = counts.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0))))
-    rows = counts.select("stratum", "n", "strata", F.explode(tests).alias("t")).select("stratum", "n", "strata", "t.*")
-    p = binomial_cdf(F.col("k"), F.col("n"), risk / len(grids))
-    walk = Window.partitionBy("stratum", "rule").orderBy("i")
-    passed = rows.withColumn("safe", p <= F.lit(delta) / (F.col("strata") * len(grids)))
-    passed = passed.withColumn("safe", F.min(F.col("safe").cast("int")).over(walk) == 1)
+    lost = [reduce(lambda a, b: a | b, [F.col(r) > c for r, c in now.items()]) for _, _, now in walk]
+    losses = F.array(*[F.count_if(x) for x in lost])
+    counts = written(good.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), losses.alias("losses")), "strata")
+    level = delta / max(1, counts.count())
+    counts = counts.withColumn("pooled", F.col("n") < math.log(level) / math.log1p(-risk))
+    counts = counts.withColumn("member", F.when(~F.col("pooled"), F.col("stratum")))
+    tests = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.get("losses", t).alias("k")) for t, (r, c, _) in enumerate(walk)])
+    rows = counts.select("pooled", "member", "n", F.explode(tests).alias("s")).groupBy("pooled", "member", "s.t", "s.rule", "s.cutoff").agg(F.sum("n").alias("n"), F.sum("s.k").alias("k"))
+    so_far = Window.partitionBy("pooled", "member").orderBy("t")
+    passed = rows.withColumn("safe", F.min((binomial_cdf(F.col("k"), F.col("n"), risk) <= level).cast("int")).over(so_far) == 1)
     best = [F.min(F.when(F.col("safe") & (F.col("rule") == r), F.col("cutoff"))).alias(f"max_{r}") for r in grids]
-    return passed.groupBy("stratum").agg(*best)
+    found = passed.groupBy(F.col("pooled").alias("_pooled"), F.col("member").alias("_member")).agg(*best)
+    same = (counts["pooled"] == found["_pooled"]) & counts["member"].eqNullSafe(found["_member"])
+    return counts.join(found, same).select("stratum", *[f"max_{r}" for r in grids])
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, stratum: str = STRATUM) -> DataFrame:
@@ -150,25 +168,23 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     narrow = docs.select("doc_id", "text", stratum)
     measured = written(measure(narrow).select(*keep), "quality")
     cutoffs = written(select_cutoffs(measured, labels, risk, delta, stratum), "cutoffs")
-    small = cutoffs.count() <= BROADCAST_ROWS  # strata could be many; beyond this they are shuffled
-    out = measured.join(F.broadcast(cutoffs) if small else cutoffs, measured[stratum].eqNullSafe(cutoffs["stratum"]), "left")
+    out = measured.join(sized(cutoffs), measured[stratum].eqNullSafe(cutoffs["stratum"]), "left")
     why = reduce(lambda c, r: c.when(F.col(r) > F.col(f"max_{r}"), r), GRIDS, F.when(F.col("base_failed"), "base"))
     out = out.withColumn("failed_rule", why).withColumn("kept", F.col("failed_rule").isNull())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns.  The verdict joins back by
+    """The documents that pass, with their columns.  The verdict meets them by
     doc_id; rows that share a doc_id stay if one of them passes."""
-    kept = judge(docs, labels).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-
+    verdict = judge(docs, labels).groupBy("doc_id").agg(F.bool_or("kept").alias("stays"))
+    return without(docs, verdict.where("NOT stays"))
 
 
 def oracle_sql(risk: float = RISK, delta: float = DELTA) -> str:
-    a = f"({risk}::DOUBLE / {len(GRIDS)})"
-    grid = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, g in GRIDS.items() for i, c in enumerate(g))
-    pick = " ".join(f"WHEN '{r}' THEN {r}" for r in GRIDS)
+    walk = steps(GRIDS)
+    lost = lambda now: " OR ".join(f"{r} > {c}::DOUBLE" for r, c in now.items())
+    tests = ", ".join(f"{{'t': {t}, 'rule': '{r}', 'cutoff': {c}::DOUBLE, 'k': count_if({lost(now)})}}" for t, (r, c, now) in enumerate(walk))
     fail = " ".join(f"WHEN {r} > max_{r} THEN '{r}'" for r in GRIDS)
     best = ", ".join(f"min(cutoff) FILTER (rule = '{r}' AND walked) AS max_{r}" for r in GRIDS)
     ratio = lambda x, y: f"CASE WHEN {y} > 0 THEN {x}::DOUBLE / {y} ELSE 0 END"
@@ -187,12 +203,16 @@ f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
   {ratio('n_symbols', 'word_chars')} AS symbol_share, {ratio('n_repeat_words', 'n_words')} AS repeat_share,
   {ratio('n_dup_lines', 'n_lines')} AS dup_line_share, {ratio('upper_chars', 'word_chars')} AS shout_share, {ratio('word_chars', 'n_words')} AS word_length FROM m),
 good AS (SELECT f.* FROM f SEMI JOIN (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
-grid(rule, i, cutoff) AS (VALUES {grid}),
-tests AS (SELECT lang, rule, i, cutoff, count(*) AS n, count_if((CASE rule {pick} END) > cutoff) AS k FROM good, grid GROUP BY ALL),
-terms AS (SELECT lang, rule, i, cutoff, n, k, unnest(range(0, k::BIGINT + 1)) AS j FROM tests),
-pv AS (SELECT lang, rule, i, cutoff, CASE WHEN k >= n * {a} THEN 1 ELSE sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a}))) END AS p
-  FROM terms GROUP BY lang, rule, i, cutoff, n, k),
-walk AS (SELECT *, min((p <= {delta}::DOUBLE / ((SELECT count(DISTINCT coalesce(lang, '?')) FROM good) * {len(GRIDS)}))::INT) OVER (PARTITION BY lang, rule ORDER BY i) = 1 AS walked FROM pv),
-cut AS (SELECT lang, {best} FROM walk GROUP BY lang)
+s AS (SELECT lang, count(*) AS n, [{tests}] AS tests FROM good GROUP BY lang),
+level AS (SELECT {delta}::DOUBLE / greatest(1, count(*)) AS level FROM s),
+v AS (SELECT lang, n, tests, n < ln(level) / ln(1 - {risk}::DOUBLE) AS pooled FROM s, level),
+u AS (SELECT pooled, CASE WHEN NOT pooled THEN lang END AS member, n, unnest(tests) AS x FROM v),
+k AS (SELECT pooled, member, x.t AS t, x.rule AS rule, x.cutoff AS cutoff, sum(n)::BIGINT AS n, sum(x.k)::BIGINT AS k FROM u GROUP BY ALL),
+terms AS (SELECT *, unnest(range(0, k + 1)) AS j FROM k),
+pv AS (SELECT pooled, member, t, rule, cutoff, CASE WHEN k >= n * {risk}::DOUBLE THEN 1 ELSE sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}::DOUBLE) + (n - j) * ln(1 - {risk}::DOUBLE))) END AS p
+  FROM terms GROUP BY pooled, member, t, rule, cutoff, n, k),
+walk AS (SELECT pv.*, min((p <= level)::INT) OVER (PARTITION BY pooled, member ORDER BY t) = 1 AS walked FROM pv, level),
+found AS (SELECT pooled, member, {best} FROM walk GROUP BY ALL),
+cut AS (SELECT v.lang, found.* FROM v JOIN found ON v.pooled = found.pooled AND (v.pooled OR v.lang IS NOT DISTINCT FROM found.member))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule IS NULL AS kept, failed_rule FROM (
   SELECT f.*, CASE WHEN base_failed THEN 'base' {fail} END AS failed_rule FROM f LEFT JOIN cut ON f.lang IS NOT DISTINCT FROM cut.lang)"""
