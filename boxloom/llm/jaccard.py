@@ -39,13 +39,14 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import frugal, written
+from boxloom.llm.common import discard, frugal, sized, slices, slim_batches, text_bytes, without, written
 
 SHINGLE = 5
 NUM, DEN = 4, 5
@@ -57,9 +58,10 @@ FIRST = 16
 MAX_FREQUENT = 200_000
 FREQUENT = 16
 COUNT_AT_ONCE = 4_000_000
-BROADCAST_ROWS = 400_000
+#: A token reported this often is dealt over several tasks.
+HOT = 100_000
 PAIRS_AT_ONCE = 100_000
-SETS = "doc_id long, mark long, n long, cid long, vec binary, wide binary, tokens array<long>, counts array<long>"
+SETS = "doc_id long, mark long, n long, cid long, proof long, vec binary, wide binary, tokens array<long>, counts array<long>"
 SET_NAMES = [x.split()[0] for x in SETS.split(", ")]
 # Odd multipliers of the rolling combination.
 WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -98,30 +100,73 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, from the text's bytes at once: sums of byte
-    codes times powers of their place, shifted to the word's start."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts that start and end at `at`, from
+    all their bytes at once (sums of byte codes times powers of their place,
+    shifted to the word's start), and the index of each text's first word."""
     codes = byte_codes()[raw]
-    inner = np.concatenate([[False], codes != 0, [False]])
-    edge = np.flatnonzero(inner[1:] != inner[:-1])
-    start, stop = edge[::2], edge[1::2]
-    up, down = POWERS.upto(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(raw)], dtype=np.uint64)])
-    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    n = len(raw)
+    inner = codes != 0
+    fresh = np.ones(n + 1, bool)  # where words may start or stop
+    fresh[1:n] = inner[1:] != inner[:-1]
+    fresh[at] = True
+    edge = np.flatnonzero(fresh)
+    start = edge[:-1][inner[edge[:-1]]] if n else np.zeros(0, np.int64)
+    stop = edge[1:][inner[edge[:-1]]] if n else start
+    up, down = POWERS.upto(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[:n], dtype=np.uint64)])
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)), np.searchsorted(start, at)
+
+
+def text_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word runs, one text after the
+    other, and where each text's begin; only A-Z are lower-cased."""
+    words, first = word_hashes(raw, at)
+    number = np.diff(first)
+    whole = number >= SHINGLE
+    size = np.where(whole, number - SHINGLE + 1, np.minimum(number, 1))
+    total = max(0, len(words) - SHINGLE + 1)
+    h = np.full(total, SHINGLE, np.uint64)
+    for j in range(SHINGLE):
+        h += words[j : j + total] * WEIGHTS[j]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(begin[-1], np.uint64)
+    ends = begin[1:]
+    i = np.arange(begin[-1]) + np.repeat(first[:-1] - (ends - size), size)
+    own = np.repeat(whole, size)
+    out[own] = h[i[own]]
+    for d in np.flatnonzero(~whole & (number > 0)).tolist():
+        k, x = int(number[d]), np.uint64(number[d])
+        for j in range(k):
+            x = x + words[first[d] + j] * WEIGHTS[j]
+        out[begin[d]] = x
+    out = mix(out)
+    for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        if hi - lo > 1:
+            out[lo:hi].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[begin[:-1][size > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[begin]
+
+
+def array_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, shingles, places) of runs of the texts."""
+    raw, at = text_bytes(texts)
+    for lo, hi in slices(at):
+        with np.errstate(over="ignore"):
+            yield lo, hi, *text_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+
+
+def each_set(texts: pa.Array) -> Iterator[np.ndarray]:
+    for _, _, s, at in array_sets(texts):
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield s[lo:hi]
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word runs; only A-Z are lower-cased."""
-    codes = word_hashes(text) if text else np.zeros(0, np.uint64)
-    if not len(codes):
-        return codes
-    k = min(SHINGLE, len(codes))
-    n = len(codes) - k + 1
-    h = np.full(n, k, np.uint64)
-    for j in range(k):
-        h += codes[j : j + n] * WEIGHTS[j]
-    return np.unique(mix(h))
+    """The set of one text."""
+    return next(each_set(pa.array([text], pa.string())))
 
 
 def needed(a, b):
@@ -133,30 +178,38 @@ def needed(a, b):
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b):
         return False
-    overlap = len(np.intersect1d(a, b, assume_unique=True))
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    overlap = int((b[at] == a).sum())
     return DEN * overlap >= NUM * (len(a) + len(b) - overlap)
 
 
-def point(s: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)
+def points(s: np.ndarray, at: np.ndarray, groups: int) -> np.ndarray:
+    """Counts by group of each set, a row a set."""
+    n = len(at) - 1
+    cell = np.repeat(np.arange(n) * groups, np.diff(at)) + (s % np.uint64(groups)).astype(np.int64)
+    return np.bincount(cell, minlength=n * groups).reshape(n, groups)
 
 
-def wide_point(s: np.ndarray) -> bytes:
+def wide_points(s: np.ndarray, at: np.ndarray) -> list[bytes]:
     """WIDE counts cut at 255, and what was cut off in all: the overlap of two
     sets is at most the sum of the minima plus the lesser of the two excesses."""
-    full = point(s, WIDE)
+    full = points(s, at, WIDE)
     cut = np.minimum(full, 255)
-    return cut.astype(np.uint8).tobytes() + int((full - cut).sum()).to_bytes(4, "little")
+    more = (full - cut).sum(1)
+    return [c + int(m).to_bytes(4, "little") for c, m in zip(map(bytes, cut.astype(np.uint8)), more, strict=True)]
 
 
-def class_id(s: np.ndarray) -> int:
+def class_ids(s: np.ndarray, at: np.ndarray, seed: int) -> tuple[list[int], list[int]]:
+    """Two 64-bit hashes of each set: the class's name, and its check."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+    both = [xxhash.xxh3_128_intdigest(s[lo:hi].tobytes(), seed) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return [(x >> 64) - 2**63 for x in both], [(x & (2**64 - 1)) - 2**63 for x in both]
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, n, cid, vec, wide) of each row; mark is a hash of the
+def set_table(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, mark, n, cid, proof, vec, wide) of each row; mark is a hash of the
     text.  Besides, rows of (tokens, counts): shingles that a run of the
     distinct sets a task reads holds twice or more, counted over runs of bounded
     size, so that no shingle crosses the network to be counted alone."""
@@ -167,28 +220,32 @@ def set_table(docs: DataFrame) -> DataFrame:
         size = 0
 
         def report() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            tokens = np.concatenate(held)
+            tokens.sort()
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            n = np.diff(np.append(first, len(tokens)))
             keep = n > 1
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-            lists = [pa.array([x], pa.list_(pa.int64())) for x in (tokens[keep].view(np.int64), n[keep].astype(np.int64))]
+            none = [pa.nulls(1, t) for t in (*[pa.int64()] * 5, pa.binary(), pa.binary())]
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (tokens[first[keep]].view(np.int64), n[keep].astype(np.int64))]
             return pa.RecordBatch.from_arrays([*none, *lists], SET_NAMES)
 
         for b in batches:
-            sets = [shingles(t) for t in b.column(2).to_pylist()]
-            ids = [class_id(s) for s in sets]
-            vec = [point(s, GROUPS).astype("<i4").tobytes() for s in sets]
-            none = pa.nulls(len(sets), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(vec, pa.binary()), pa.array([wide_point(s) for s in sets], pa.binary()), none, none], SET_NAMES
-            )
-            for s, c in zip(sets, ids, strict=True):
-                if c not in seen:
-                    seen.add(c)
-                    held.append(s)
-                    size += len(s)
-                if size >= COUNT_AT_ONCE:
-                    yield report()
-                    held, size, seen = [], 0, set()
+            for lo, hi, s, at in array_sets(b.column(2)):
+                ids, proof = class_ids(s, at, seed)
+                vec = [x.tobytes() for x in points(s, at, GROUPS).astype("<i4")]
+                none = pa.nulls(hi - lo, pa.list_(pa.int64()))
+                doc, mark = (b.column(k).slice(lo, hi - lo) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [doc, mark, pa.array(np.diff(at), pa.int64()), pa.array(ids, pa.int64()), pa.array(proof, pa.int64()), pa.array(vec, pa.binary()), pa.array(wide_points(s, at), pa.binary()), none, none], SET_NAMES
+                )
+                for c, x, y in zip(ids, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if c not in seen:
+                        seen.add(c)
+                        held.append(s[x:y])
+                        size += y - x
+                        if size >= COUNT_AT_ONCE:
+                            yield report()
+                            held, size, seen = [], 0, set()
         if held:
             yield report()
 
@@ -196,18 +253,33 @@ def set_table(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(frugal(run), SETS)
 
 
-def frequent(sets: DataFrame) -> np.ndarray:
-    """The most frequent reported shingles, in their order: rarest first."""
+def class_table(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(set_table, classes, seed of the names), written.  Should two different sets share a name, as
+    their second hashes tell, all names are drawn anew."""
+    seed = 0
+    while True:
+        table = written(set_table(docs, seed), "sets")
+        of = table.where("n > 0").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "vec", "wide")], (F.min("proof") != F.max("proof")).alias("clash"))
+        classes = written(of, "classes")
+        if not classes.where("clash").head(1):
+            return table, classes, seed
+        discard(table, classes)
+        seed += 1
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent reported shingles, in their order (rarest first), and
+    how often they were reported."""
     rows = sets.where("tokens IS NOT NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
     found = rows.groupBy(F.col("t.tokens").alias("token")).agg(F.sum("t.counts").alias("n"))
-    top = found.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toArrow()
-    return top.column("token").to_numpy()[::-1].copy().view(np.uint64)
+    top = found.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()
+    return tuple(top.column(c).to_numpy()[::-1].copy() for c in ("token", "n"))
 
 
 def prefix(s: np.ndarray, tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of s in the common order: hash order, frequent last.
     tokens: frequent ones, sorted; rank: their places in the order."""
-    size = len(s) - (NUM * len(s) + DEN - 1) // DEN + 1
+    size = int(prefix_size(len(s)))
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
         hit = tokens[at] == s
@@ -215,44 +287,103 @@ def prefix(s: np.ndarray, tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return s[:size]
 
 
-def incidence(docs: DataFrame, order: np.ndarray) -> DataFrame:
+def prefix_size(n):
+    return n - (NUM * n + DEN - 1) // DEN + 1
+
+
+class Prefixes:
+    """prefix() of many sets at once: those with enough shingles that aren't
+    frequent need no look at the order."""
+
+    BITS = 22
+
+    def __init__(self, tokens: np.ndarray, rank: np.ndarray) -> None:
+        self.tokens, self.rank = tokens, rank
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[self.cell(tokens)] = True
+
+    def cell(self, s: np.ndarray) -> np.ndarray:
+        return (s >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def frequent(self, s: np.ndarray) -> np.ndarray:
+        hit = self.maybe[self.cell(s)]
+        some = s[hit]
+        if len(some):
+            hit[hit] = self.tokens[np.minimum(np.searchsorted(self.tokens, some), len(self.tokens) - 1)] == some
+        return hit
+
+    def of(self, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles, index of their set)."""
+        n = np.diff(at)
+        size = np.where(n > 0, prefix_size(n), 0)
+        rare = ~self.frequent(s)
+        before = np.concatenate([[0], np.cumsum(rare)])
+        enough = before[at[1:]] - before[at[:-1]] >= size
+        of = np.repeat(np.arange(len(n)), n)
+        keep = rare & enough[of] & (before[:-1] - before[at[:-1]][of] < size[of])
+        out, ids = [s[keep]], [of[keep]]
+        for d in np.flatnonzero(~enough).tolist():
+            out.append(prefix(s[at[d] : at[d + 1]], self.tokens, self.rank))
+            ids.append(np.full(len(out[-1]), d))
+        return np.concatenate(out), np.concatenate(ids)
+
+
+def incidence(docs: DataFrame, order: np.ndarray, seed: int) -> DataFrame:
     """(token, cid): each class under each shingle of its prefix.  A task gives
     equal sets once."""
     sort = np.argsort(order)
     told = docs.sparkSession.sparkContext.broadcast((order[sort], sort))  # MAX_FREQUENT at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, rank = told.value
+        prefixes = Prefixes(*told.value)
         seen: set[int] = set()
         for b in batches:
             if len(seen) > COUNT_AT_ONCE // 8:
                 seen = set()
-            out, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for t in b.column(0).to_pylist():
-                s = shingles(t)
-                if len(s) and (c := class_id(s)) not in seen:
+            for _, _, s, at in array_sets(b.column(0)):
+                ids = class_ids(s, at, seed)[0]
+                new = []
+                for c, n in zip(ids, np.diff(at).tolist(), strict=True):
+                    new.append(n > 0 and c not in seen)
                     seen.add(c)
-                    p = prefix(s, tokens, rank)
-                    out.append(p)
-                    ids.append(np.full(len(p), c, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], ["token", "cid"])
+                keep = np.array(new, bool)
+                size = np.diff(at)
+                mine = s[np.repeat(keep, size)]
+                tokens, which = prefixes.of(mine, np.concatenate([[0], np.cumsum(size[keep])]))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.array(ids, np.int64)[keep][which])], ["token", "cid"])
 
     return docs.select("text").mapInArrow(frugal(run), "token long, cid long")
 
 
-def buckets(docs: DataFrame, classes: DataFrame, order: np.ndarray) -> DataFrame:
+def buckets(docs: DataFrame, classes: DataFrame, order: np.ndarray, counts: np.ndarray, seed: int) -> DataFrame:
     """(token, cid, n, vec, size): buckets of two classes or more; of buckets
-    with the same classes, one."""
-    rows = incidence(docs, order)
-    same = Window.partitionBy("token")
+    with the same classes, one.
+
+    Tokens reported HOT times or more are dealt over several tasks, and their
+    parts' sizes summed; there are few of them, as the reports sum to the rows."""
+    rows = incidence(docs, order.view(np.uint64), seed)
+    hot = [(int(t), -(-int(n) // HOT)) for t, n in zip(order[counts >= HOT], counts[counts >= HOT], strict=True)]
+    if hot:
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(hot, "token long, parts long")), "token", "left")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))))
+    else:
+        rows = rows.withColumns({"parts": F.lit(None).cast("long"), "part": F.lit(0).cast("long")})
+    key = ["token", "part"]
     # equal classes from several tasks are next to each other in the sort
-    first = Window.partitionBy("token").orderBy("cid")
+    same, first = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("cid")
     rows = rows.withColumn("prev", F.lag("cid").over(first)).where("prev IS NULL OR prev <> cid").drop("prev")
-    rows = rows.withColumn("size", F.count("*").over(same)).withColumn("who", F.bit_xor(F.xxhash64("cid")).over(same)).where("size > 1")
-    rows = written(rows, "incidence")
+    who = F.bit_xor(F.xxhash64("cid"))
+    rows = rows.withColumn("size", F.count("*").over(same)).withColumn("who", who.over(same)).where("size > 1 OR parts IS NOT NULL")
+    rows = table = written(rows.drop("part"), "incidence")
+    if hot:
+        whole = rows.where("parts IS NOT NULL").groupBy("token").agg(F.count("*").alias("size"), who.alias("who"))
+        rows = rows.where("parts IS NULL").unionByName(rows.where("parts IS NOT NULL").drop("size", "who").join(F.broadcast(whole), "token"))
+        rows = rows.where("size > 1")
     one = rows.groupBy("who", "size").agg(F.min("token").alias("token")).select("token")
-    kept = rows.join(one, "token", "left_semi").drop("who")
-    return written(kept.join(classes.select("cid", "n", "vec"), "cid"), "buckets")
+    kept = rows.join(one, "token", "left_semi").drop("who", "parts")
+    out = written(kept.join(classes.select("cid", "n", "vec"), "cid"), "buckets")
+    discard(table)
+    return out
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -447,83 +578,92 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     while they are few, and shuffled otherwise."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            last, known = None, np.zeros(0, np.uint64)
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if y != last:
-                    last, known = y, shingles(y)
-                keep.append(linked(shingles(x), known))
+        for b in slim_batches(batches, 2):
+            heads = b.column(3).dictionary_encode()  # a leader's text comes with each of its followers
+            known = list(each_set(heads.dictionary))
+            keep = [linked(x, known[k]) for x, k in zip(each_set(b.column(2)), heads.indices.to_pylist(), strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    few = pairs.count() <= BROADCAST_ROWS
-    sized = F.broadcast if few else (lambda d: d)
+    pairs = written(pairs, "pairs")
     left = texts.withColumnRenamed("cid", "a").withColumnRenamed("text", "ta").join(sized(pairs), "a")
-    heads = sized(pairs.select("b").distinct())
-    right = texts.withColumnRenamed("cid", "b").withColumnRenamed("text", "tb").join(heads, "b", "left_semi")
+    heads = written(pairs.select("b").distinct(), "heads")
+    right = texts.withColumnRenamed("cid", "b").withColumnRenamed("text", "tb").join(sized(heads), "b", "left_semi")
     both = left.join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
-    return written(both.mapInArrow(frugal(run), "a long, b long"), "links")
+    out = written(both.mapInArrow(frugal(run), "a long, b long"), "links")
+    discard(pairs, heads)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cid, lab): the least class of each component.  Labels spread to
+    """(cid, lab), written: the least class of each component.  Labels spread to
     neighbours and jump to their label's label, until nothing changes."""
     ends = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "ends")
     lab = written(ends.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("m")).select("cid", F.least("cid", "m").alias("lab")), "labels")
     while True:
-        near = ends.join(lab.select(F.col("cid").alias("b"), F.col("lab").alias("m")), "b").groupBy(F.col("a").alias("cid")).agg(F.min("m").alias("m"))
-        spread = lab.join(near, "cid").select("cid", F.least("lab", "m").alias("new"), F.col("lab").alias("old"))
-        jump = spread.select(F.col("cid").alias("new"), F.col("new").alias("far"))
-        done = written(spread.join(jump, "new").select("cid", F.least("new", "far").alias("lab"), (F.least("new", "far") != F.col("old")).alias("moved")), "labels")
-        lab = done.select("cid", "lab")
+        few = sized(lab)
+        near = ends.join(few.select(F.col("cid").alias("b"), F.col("lab").alias("m")), "b").groupBy(F.col("a").alias("cid")).agg(F.min("m").alias("m"))
+        spread = written(lab.join(near, "cid").select("cid", F.least("lab", "m").alias("new"), F.col("lab").alias("old")), "spread")
+        jump = sized(spread).select(F.col("cid").alias("new"), F.col("new").alias("far"))
+        least = F.least("new", "far")
+        done = written(spread.join(jump, "new").select("cid", least.alias("lab"), (least != F.col("old")).alias("moved")), "labels")
+        discard(lab, spread)
+        lab = done
         if not done.where("moved").head(1):
+            discard(ends)
             return lab
 
 
 def open_buckets(rows: DataFrame, lab: DataFrame) -> DataFrame:
     """The rows of buckets with several components, with lab."""
-    marked = rows.join(lab, "cid", "left").withColumn("lab", F.coalesce("lab", "cid"))
-    same = Window.partitionBy("token")
-    return marked.withColumn("_lo", F.min("lab").over(same)).withColumn("_hi", F.max("lab").over(same)).where("_lo <> _hi").drop("_lo", "_hi")
+    marked = rows.join(sized(lab).select("cid", "lab"), "cid", "left").withColumn("lab", F.coalesce("lab", "cid"))
+    several = marked.groupBy("token").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("token")
+    return marked.join(several, "token", "left_semi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, for each row."""
     docs = docs.select("doc_id", "text")
-    table = written(set_table(docs), "sets")
+    table, classes, seed = class_table(docs)
     sets = table.where("cid IS NOT NULL").drop("tokens", "counts")
-    classes = sets.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("wide").alias("wide"))
-    rows = buckets(docs, classes, frequent(table))
+    rows = buckets(docs, classes, *frequent(table), seed)
     texts = class_texts(docs, sets, rows)
 
-    links = verified(by_leaders(rows), texts)
-    lab = components(links)
+    links = [verified(by_leaders(rows), texts)]
+    lab = components(links[0])
     for best in (True, False):
-        rest = open_buckets(rows, lab).join(classes.select("cid", "wide"), "cid")
-        links = links.union(verified(by_tree(rest, best), texts))
-        lab = components(links)
+        rest = written(open_buckets(rows, lab).join(classes.select("cid", "wide"), "cid").select("token", "cid", "n", "size", "lab", "wide"), "open")
+        if rest.head(1):
+            links.append(verified(by_tree(rest, best), texts))
+            discard(lab)
+            lab = components(reduce(DataFrame.union, links))
+        discard(rest)
+    discard(texts, rows, classes, *links)
 
-    named = sets.join(lab, "cid", "left").withColumn("comp", F.coalesce("lab", "cid"))
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "comp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = sets.select("doc_id", "n", "cid").join(sized(lab).select("cid", "lab"), "cid", "left").withColumn("comp", F.coalesce("lab", "cid"))
+    # only what is linked, or held by several rows, needs a look at the others
+    least = written(named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("comp", "least"), "least")
+    out = named.join(sized(least), "comp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def class_texts(docs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """(cid, text) of the classes in buckets, one text a class, written once."""
+    """(cid, text) of the classes in buckets, one text a class, written."""
     one = F.min(F.struct("doc_id", "mark")).alias("d")
     wanted = sets.join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(one).select("cid", F.col("d.doc_id").alias("_id"), F.col("d.mark").alias("_mark"))
     wanted = written(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
     marked = docs.withColumn("mark", F.xxhash64("text"))
     same = marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["mark"] == F.col("_mark"))
-    found = marked.join(F.broadcast(wanted) if few else wanted, same)
-    return written(found.select("cid", "text"), "texts").dropDuplicates(["cid"])
+    found = marked.join(sized(wanted), same)
+    # rows of one doc_id and text are one class
+    out = written(found.select("cid", "text").dropDuplicates(["cid"]), "texts")
+    discard(wanted)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document of smallest id of each component; of rows that share that
-    id, all.  Documents without words stay."""
-    kept = near_duplicates(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    id, all.  Documents without words stay, and so does every row of an id of
+    which one row stays."""
+    named = near_duplicates(docs)
+    return without(docs, named.groupBy("doc_id").agg(F.bool_or(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")).where("NOT stays"))
