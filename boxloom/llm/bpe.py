@@ -1,8 +1,15 @@
-"""Byte-pair vocabularies: pre-tokens, merge counts by heap and linked list.
+"""Byte-pair vocabularies: pre-tokens, merges by heap and linked list.
 
 The vocabulary file names its own normalizer and pre-tokenizer; this module
 knows the word-end kind (NFC, lower case, white space dropped, </w>), and
 refuses others.
+
+Texts are cut on whole Arrow buffers: white-space pieces of ASCII and Latin-1
+letters, digits and punctuation fall into pre-tokens by byte class.  Any other
+piece (apostrophes, other scripts, control characters, special strings) is one
+unit, which the library's own normalizer and pre-tokenizer split, so that its
+Unicode tables decide.  Each distinct unit is merged once and remembered, under
+its bytes (never under a hash), in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -10,39 +17,19 @@ from __future__ import annotations
 import functools
 import heapq
 import json
-import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-from boxloom.llm.common import CACHES
-
-#: Entries a cache takes before the older half of it is dropped.  Workers are kept
-#: between stages, and so is this memory: about 150 MB a worker.
-MAX_CACHE = 300_000
-#: Longer keys are counted each time, so that the cache's memory is bounded.
-LONG_KEY = 64
-BASE = 1 << 16
-
-
-class Recent(dict):
-    """A bounded cache of two generations; make(key) fills what is missing."""
+from boxloom.llm.common import CACHES, slices, text_bytes
 
-    def __init__(self, make, most: int = MAX_CACHE) -> None:
-        super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
-
-    def __missing__(self, key):
-        got = self.old.get(key)
-        return self.put(key, self.make(key) if got is None else got)
-
-    def put(self, key, value):
-        if len(key) >= LONG_KEY:
-            return value
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+#: Units a table takes before it starts anew: at most about 80 MB a worker.
+MAX_UNITS = 1 << 20
+#: Units of more bytes than a table's key are remembered in a dict of this size.
+SHORT = 16
+MAX_LONG = 50_000
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 
 
 def byte_symbols() -> dict[int, str]:
@@ -53,43 +40,157 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def merged(symbols: list[int], pairs: dict[int, int], made: list[int]) -> list[int]:
-    """The symbols left once no adjacent pair has a rank.
+def byte_classes() -> bytes:
+    """Class of each byte; the lead byte of Latin-1 letters is seen to later."""
+    out = bytearray([ODD] * 256)
+    for b in range(33, 127):
+        out[b] = DIGIT if chr(b).isdigit() else LETTER if chr(b).isalpha() else OTHER
+    out[ord("'")] = ODD
+    for b in (*range(9, 14), 32):
+        out[b] = SPACE
+    return bytes(out)
+
 
-    A doubly linked list holds the symbols, a heap the ranked pairs (lowest rank
-    first, then leftmost).  An entry whose pair has changed since is dropped.
-    pairs: left * BASE + right -> rank; made: rank -> merged symbol.
+CLASSES = byte_classes()
+LATIN = 0xC3  # lead byte of U+00C0 to U+00FF
+SIGNS = (0x97, 0xB7)  # after it: the two that aren't letters
+
+
+def heap_merges(symbols: list[int], pairs: dict[tuple[int, int], int], made: list[int]) -> Iterator[tuple[int, int]]:
+    """(place, symbol made) of each merge, until no adjacent pair has a rank.
+
+    A doubly linked list joins the places, a heap holds the ranked pairs (lowest
+    rank first, then leftmost).  An entry whose pair has changed since is dropped.
     """
     n = len(symbols)
     sym = list(symbols)
     after, before = list(range(1, n)) + [-1], list(range(-1, n - 1))
     get = pairs.get
-    heap = [r * n + i for i in range(n - 1) if (r := get(sym[i] * BASE + sym[i + 1])) is not None]
+    heap = [r * n + i for i in range(n - 1) if (r := get((sym[i], sym[i + 1]))) is not None]
     heapq.heapify(heap)
     while heap:
         rank, i = divmod(heapq.heappop(heap), n)
         j = after[i]
-        if sym[i] < 0 or j < 0 or get(sym[i] * BASE + sym[j]) != rank:
+        if sym[i] < 0 or j < 0 or get((sym[i], sym[j])) != rank:
             continue
         new = sym[i] = made[rank]
         sym[j] = -1
         k = after[i] = after[j]
         if k >= 0:
             before[k] = i
-            if (r := get(new * BASE + sym[k])) is not None:
+            if (r := get((new, sym[k]))) is not None:
                 heapq.heappush(heap, r * n + i)
         h = before[i]
-        if h >= 0 and (r := get(sym[h] * BASE + new)) is not None:
+        if h >= 0 and (r := get((sym[h], new))) is not None:
             heapq.heappush(heap, r * n + h)
-    return [x for x in sym if x >= 0]
+        yield i, new
+
+
+def merge_count(symbols: list[int], pairs: dict[tuple[int, int], int], made: list[int]) -> int:
+    """Tokens of a word: its symbols less the merges."""
+    return len(symbols) - sum(1 for _ in heap_merges(symbols, pairs, made))
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All indexes start, start + 1, ... of runs of these sizes."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def units(raw: np.ndarray, at: np.ndarray, marks: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, stop, whole) of the texts that start and end at `at`: the
+    bytes lower-cased but in whole pieces, the units, and which units are pieces
+    for the library to split.  Pieces that hold one of the marks are whole."""
+    data = raw.tobytes()
+    low = np.frombuffer(bytearray(data.lower()), np.uint8)
+    kind = np.frombuffer(bytearray(data.translate(CLASSES)), np.uint8)
+    n = len(low)
+    lead = np.flatnonzero(low == LATIN)
+    if len(lead):
+        tail = low[lead + 1]
+        letter = (tail != SIGNS[0]) & (tail != SIGNS[1])
+        kind[lead[letter]] = kind[lead[letter] + 1] = LETTER
+        low[lead + 1] = np.where((tail <= 0x9E) & letter, tail + 0x20, tail)
+    for mark in marks:
+        i = data.find(mark)
+        while i >= 0:
+            kind[i] = ODD
+            i = data.find(mark, i + 1)
+
+    fresh = np.ones(n + 1, bool)  # where a byte and the one before it differ in class, or in text
+    fresh[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    fresh[at] = True
+    start = np.flatnonzero(fresh[:n] & (kind != SPACE))
+    first = np.ones(len(start), bool)  # of its piece
+    first[:] = (start == 0) | (kind[start - 1] == SPACE)
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    first |= edge[start]
+    bounds = np.flatnonzero(fresh)
+    stop = bounds[np.searchsorted(bounds, start, "right")] if len(start) else start
+
+    odd = np.flatnonzero(kind == ODD)
+    whole = np.zeros(len(start), bool)
+    if len(odd):
+        head = np.flatnonzero(first)
+        piece = np.cumsum(first) - 1
+        bad = np.zeros(len(head), bool)
+        bad[piece[np.searchsorted(start, odd, "right") - 1]] = True
+        tail_at = np.append(head[1:], len(start)) - 1
+        stop[head[bad]] = stop[tail_at[bad]]
+        whole[head[bad]] = True
+        keep = first | ~bad[piece]
+        start, stop, whole = start[keep], stop[keep], whole[keep]
+        back = spread(start[whole], (stop - start)[whole])
+        low[back] = raw[back]
+    return low, start, stop, whole
+
+
+class Known:
+    """Numbers of byte strings of at most SHORT bytes, kept as two integers each
+    (open addressing, many looked up at once)."""
+
+    def __init__(self, bits: int = 21) -> None:
+        self.bits, self.size = bits, 0
+        self.one, self.two = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.number = np.full(1 << bits, -1, np.int32)
+
+    def slot(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        h = (one ^ (two * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The numbers; -1 where there is none."""
+        at = self.slot(one, two)
+        out = self.number[at]
+        todo = np.flatnonzero((out >= 0) & ((self.one[at] != one) | (self.two[at] != two)))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.number) - 1)
+            got = self.number[at]
+            out[todo] = got
+            go = (got >= 0) & ((self.one[at] != one[todo]) | (self.two[at] != two[todo]))
+            todo, at = todo[go], at[go]
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, number: np.ndarray) -> None:
+        """New, distinct strings."""
+        self.size += len(one)
+        at = self.slot(one, two)
+        todo = np.arange(len(one))
+        while len(todo):
+            free = self.number[at] < 0
+            self.number[at[free]] = number[todo[free]]  # of several for one place, one wins
+            won = free & (self.number[at] == number[todo])
+            self.one[at[won]], self.two[at[won]] = one[todo[won]], two[todo[won]]
+            todo, at = todo[~won], (at[~won] + 1) & (len(self.number) - 1)
 
 
 class WordEnds:
-    """Counts for one vocabulary file.  Texts are cut at white space; each
-    distinct piece is counted once and remembered (bounded)."""
+    """One vocabulary file.  A subclass says what is kept of each distinct unit."""
 
-    def __init__(self, path: str) -> None:
-        import regex
+    def __init__(self, path: str, most: int = MAX_UNITS) -> None:
+        import tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -98,88 +199,137 @@ class WordEnds:
         if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>" or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"{path} is not a word-end vocabulary")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
-        self.pairs = {vocab[a] * BASE + vocab[b]: r for r, (a, b) in enumerate(model["merges"])}
+        self.pairs = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(model["merges"])}
         self.made = [vocab[a + b] for a, b in model["merges"]]
         symbols = byte_symbols()
+        self.byte_of = {c: b for b, c in symbols.items()}
         self.inner, self.last = ([vocab[symbols[b] + x] for b in range(256)] for x in ("", end))
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special = regex.compile("(" + "|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) + ")")
-        self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.starts = {t["content"][:2] for t in spec["added_tokens"]}
-        self.odd = regex.compile(r"[\x1c-\x1f]")
-        self.space = regex.compile(r"\s+")
-        self.known = regex.compile(r"[\x00-\u024f\u2010-\u2027]*")
-        # The contractions that the vocabulary splits off.
-        self.contraction = regex.compile("'(?:s|t|re|ve|m|ll|d)")
-        self.words, self.pieces = Recent(self.word), Recent(self.piece)
-
-    def pre_tokens(self, text: str) -> list[str]:
-        if text.isascii():
-            text = text.lower()
-            if text.isalpha() and "'" not in text:
-                return [text]
-            if text[:-1].isalpha() and text[-1] in ".,":
-                return [text[:-1], text[-1]]
-        else:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        if not self.known.fullmatch(text):
-            return self.by_category(text)
-        return self.split.findall(text)
-
-    def by_category(self, text: str) -> list[str]:
-        """The same split by the standard library's Unicode categories: the
-        regex package takes some unassigned code points for letters."""
-        out, i = [], 0
-        while i < len(text):
-            if short := self.contraction.match(text, i):
-                out.append(short[0])
-                i = short.end()
-                continue
-            kind, j = self.kind(text[i]), i + 1
-            while kind in "LO" and j < len(text) and self.kind(text[j]) == kind:
-                j += 1
-            if kind != "S":
-                out.append(text[i:j])
-            i = j
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(any(c.isspace() for c in t) for t in self.special):
+            raise ValueError(f"{path} has added tokens with white space")
+        self.marks = tuple({t[:2].encode() for t in self.special})
+        library = tokenizers.Tokenizer.from_file(path)
+        self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Known()
+        self.long: dict[bytes, int] = {}
+        self.n_units = 0
+
+    def parts(self, piece: str) -> Iterator[int | bytes]:
+        """Added tokens' ids and pre-tokens' bytes, by the library."""
+        while piece:
+            at, token = min(((i, t) for t in self.special if (i := piece.find(t)) >= 0), default=(len(piece), ""))
+            for symbols, _ in self.pre_tokenize(self.normalize(piece[:at])):
+                yield bytes(self.byte_of[c] for c in symbols)
+            if token:
+                yield self.special[token]
+            piece = piece[at + len(token) :]
+
+    def symbols(self, pre: bytes) -> list[int]:
+        return [*(self.inner[b] for b in pre[:-1]), self.last[pre[-1]]]
+
+    def learn(self, low: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> None:
+        """Appends what is kept of new units, in order, under the next numbers."""
+        raise NotImplementedError
+
+    def numbers(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each unit, and the index of each text's first unit."""
+        if self.n_units + len(self.long) > self.most:
+            self.forget()
+        low, start, stop, whole = units(raw, at, self.marks)
+        size = stop - start
+        padded = np.concatenate([low, np.zeros(SHORT, np.uint8)])
+        eight = np.ndarray(len(low) + SHORT - 7, "<u8", padded.data, strides=(1,))
+        keep = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        one = eight[start] & keep[np.minimum(size, 8)]
+        two = np.zeros(len(start), np.uint64)
+        more = np.flatnonzero(size > 8)
+        two[more] = eight[start[more] + 8] & keep[np.minimum(size[more] - 8, 8)]
+
+        apart = size > SHORT  # and units with a zero byte, whose integers would be those of another string
+        zero = np.flatnonzero(low == 0)
+        if len(zero):
+            apart[np.searchsorted(start, zero, "right") - 1] = True
+        out = self.known.find(one, two)
+        out[apart] = -2
+        missing = np.flatnonzero(out == -1)
+        if len(missing):
+            order = missing[np.lexsort((two[missing], one[missing]))]
+            new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+            heads = order[new]
+            number = np.arange(self.n_units, self.n_units + len(heads), dtype=np.int32)
+            while 2 * (self.known.size + len(heads)) > len(self.known.number):
+                self.known = self.grown()
+            self.known.add(one[heads], two[heads], number)
+            self.learn(padded, start[heads], size[heads], whole[heads])
+            self.n_units += len(heads)
+            out[order] = number[np.cumsum(new) - 1]
+        for i in np.flatnonzero(apart).tolist():
+            key = low[start[i] : stop[i]].tobytes()
+            got = self.long.get(key)
+            if got is None:
+                got = self.n_units
+                self.learn(padded, start[i : i + 1], size[i : i + 1], whole[i : i + 1])
+                self.n_units += 1
+                if len(self.long) < MAX_LONG:
+                    self.long[key] = got
+            out[i] = got
+        return out, np.searchsorted(start, at)
+
+    def grown(self) -> Known:
+        """A table of twice the size: one slice of texts may hold that many units."""
+        old, out = self.known, Known(self.known.bits + 1)
+        full = np.flatnonzero(old.number >= 0)
+        out.add(old.one[full], old.two[full], old.number[full])
         return out
 
-    def kind(self, char: str) -> str:
-        got = unicodedata.category(char)[0]
-        return got if got in "LN" else "S" if self.space.match(char) else "O"
-
-    def symbols(self, pre: str) -> list[int]:
-        raw = pre.encode("utf-8", "surrogatepass")
-        return [*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]]
-
-    def word(self, pre: str) -> int:
-        return len(merged(self.symbols(pre), self.pairs, self.made))
 
-    def piece(self, text: str) -> int:
-        words = self.words
-        return sum([words[p] for p in self.pre_tokens(text)])
-
-    def cut(self, text: str) -> list[str]:
-        """White-space pieces; a pre-token never spans white space."""
-        return self.space.split(text) if self.odd.search(text) else text.split()
-
-    def count(self, text: str | None) -> int:
-        """Tokens of a text, special strings inside it as one token each."""
-        if not text:
-            return 0
-        special = 0
-        if any(s in text for s in self.starts):
-            text, special = self.special.subn(" ", text)
-        return special + sum(map(self.pieces.__getitem__, self.cut(text)))
+class Counts(WordEnds):
+    """Token counts; no ids are made."""
+
+    def forget(self) -> None:
+        super().forget()
+        self.count = np.zeros(0, np.int64)
+        self.words: dict[bytes, int] = {}
+
+    def of(self, pre: bytes) -> int:
+        return merge_count(self.symbols(pre), self.pairs, self.made)
+
+    def learn(self, low: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> None:
+        data = low.tobytes() if len(start) > 1 else b""
+        new = []
+        for i, n, w in zip(start.tolist(), size.tolist(), whole.tolist(), strict=True):
+            piece = data[i : i + n] if data else low[i : i + n].tobytes()
+            new.append(sum(1 if isinstance(p, int) else self.of(p) for p in self.parts(piece.decode())) if w else self.of(piece))
+        room = self.n_units + len(new)
+        if room > len(self.count):
+            self.count = np.concatenate([self.count, np.zeros(max(room, 1024), np.int64)])
+        self.count[self.n_units : room] = new
+
+    def count_array(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; 0 of a null one."""
+        raw, at = text_bytes(texts)
+        out = np.zeros(len(texts), np.int64)
+        for lo, hi in slices(at):
+            number, first = self.numbers(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            sums = np.concatenate([[0], np.cumsum(self.count[number])])
+            out[lo:hi] = sums[first[1:]] - sums[first[:-1]]
+        return out
 
 
 class PairTable:
     """pairs as arrays: open addressing, looked up for many pairs at once."""
 
-    def __init__(self, pairs: dict[int, int], made: list[int]) -> None:
-        self.bits = 19
+    def __init__(self, pairs: dict[tuple[int, int], int], made: list[int]) -> None:
+        self.base = 1 + max(max(max(p) for p in pairs), max(made))
+        self.bits = 1 + (4 * len(pairs)).bit_length()
         self.key = np.full(1 << self.bits, -1, np.int64)
         self.rank = np.zeros(1 << self.bits, np.int32)
-        for k, r in pairs.items():
+        for (a, b), r in pairs.items():
+            k = a * self.base + b
             at = int(self.slot(np.array([k], np.int64))[0])
             while self.key[at] >= 0:
                 at = (at + 1) & (len(self.key) - 1)
@@ -192,7 +342,7 @@ class PairTable:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; none where it has none or a side is -1."""
-        keys = left * BASE + right
+        keys = left * self.base + right
         out = np.full(keys.shape, self.none, np.int32)
         todo = np.flatnonzero((left.ravel() >= 0) & (right.ravel() >= 0))
         flat, res = keys.ravel(), out.ravel()
@@ -238,104 +388,94 @@ class PairTable:
         return done, size
 
 
-class WordEndIds(WordEnds):
-    """Ids for one vocabulary file, as little-endian 32-bit numbers.
+class Ids(WordEnds):
+    """Token ids.  New units of one length are merged together, as rows of arrays."""
 
-    The new words of a batch are merged together, as rows of arrays."""
-
-    LONG = 48
-
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def __init__(self, path: str, most: int = MAX_UNITS) -> None:
+        super().__init__(path, most)
         self.table = PairTable(self.pairs, self.made)
         self.np_inner, self.np_last = np.array(self.inner, np.int64), np.array(self.last, np.int64)
 
-    def word(self, pre: str) -> bytes:
-        return np.array(merged(self.symbols(pre), self.pairs, self.made), "<u4").tobytes()
-
-    def piece(self, text: str) -> bytes:
-        words = self.words
-        return b"".join([words[p] for p in self.pre_tokens(text)])
-
-    def learn(self, pres: set[str]) -> dict[str, bytes]:
-        by: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pres:
-            raw = p.encode("utf-8", "surrogatepass")
-            by.setdefault(len(raw), []).append((p, raw))
-        out = {}
-        for width, group in by.items():
-            if width > self.LONG:
-                out |= {p: self.word(p) for p, _ in group}
-                continue
-            for lo in range(0, len(group), 50_000):
-                part = group[lo : lo + 50_000]
-                raw = np.frombuffer(b"".join(r for _, r in part), np.uint8).reshape(len(part), width)
-                sym = self.np_inner[raw]
-                sym[:, -1] = self.np_last[raw[:, -1]]
-                ids, size = self.table.merge_all(sym)
-                data, step = ids.astype("<u4").tobytes(), 4 * width
-                out |= {p: data[k * step : k * step + 4 * n] for k, ((p, _), n) in enumerate(zip(part, size.tolist(), strict=True))}
-        return out
+    def forget(self) -> None:
+        super().forget()
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes."""
-        found = self.pieces.get
-        cut: list[list[str]] = []
-        got: list[list[bytes | None]] = []
-        missing: set[str] = set()
-        for t in texts:
-            if t and any(s in t for s in self.starts):
-                pieces = [x for part in self.special.split(t) for x in ([part] if part in self.special_ids else self.cut(part))]
-            else:
-                pieces = self.cut(t) if t else []
-            ids = list(map(found, pieces))
-            if None in ids:
-                missing.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
-            cut.append(pieces)
-            got.append(ids)
-        new = self.new_pieces(missing)
-        out = [b"".join(ids) if None not in ids else b"".join([new[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]) for pieces, ids in zip(cut, got, strict=True)]
-        for p, x in new.items():
-            self.pieces.put(p, x)
+    def _ids_of(self, piece: bytes, whole: bool) -> list[int]:
+        out: list[int] = []
+        for p in self.parts(piece.decode()) if whole else (piece,):
+            if isinstance(p, int):
+                out.append(p)
+                continue
+            sym = self.symbols(p)
+            left = dict(enumerate(sym))
+            for i, new in heap_merges(sym, self.pairs, self.made):
+                left[i] = new
+                j = i + 1
+                while j not in left:
+                    j += 1
+                del left[j]
+            out += left.values()
         return out
 
-    def new_pieces(self, missing: set[str]) -> dict[str, bytes]:
-        older, words, older_words = self.pieces.old.get, self.words.get, self.words.old.get
-        out, fresh = {}, {}
-        known: dict[str, bytes] = {}
-        new: set[str] = set()
-        for p in missing:
-            x = older(p)
-            if x is not None:
-                out[p] = x
-            elif p in self.special_ids:
-                out[p] = np.array([self.special_ids[p]], "<u4").tobytes()
-            else:
-                fresh[p] = pres = self.pre_tokens(p)
-                for w in pres:
-                    if w not in known and w not in new:
-                        ids = words(w) or older_words(w)
-                        if ids is None:
-                            new.add(w)
-                        else:
-                            known[w] = ids
-        learnt = self.learn(new)
-        known |= learnt
-        for p, pres in fresh.items():
-            out[p] = known[pres[0]] if len(pres) == 1 else b"".join([known[x] for x in pres])
-        for w, ids in learnt.items():
-            self.words.put(w, ids)
-        return out
+    def learn(self, low: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> None:
+        n = len(start)
+        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # which units, how many ids, the ids
+        plain = ~whole & (size <= SHORT)
+        for width in np.unique(size[plain]).tolist():
+            which = np.flatnonzero(plain & (size == width))
+            for lo in range(0, len(which), 50_000):
+                part = which[lo : lo + 50_000]
+                text = low[start[part][:, None] + np.arange(width)[None, :]]
+                sym = self.np_inner[text]
+                sym[:, -1] = self.np_last[text[:, -1]]
+                ids, count = self.table.merge_all(sym)
+                got.append((part, count, ids[ids >= 0]))
+        for i in np.flatnonzero(~plain).tolist():
+            ids = self._ids_of(low[start[i] : start[i] + size[i]].tobytes(), bool(whole[i]))
+            got.append((np.array([i]), np.array([len(ids)]), np.array(ids, np.int64)))
+        which, count, ids = (np.concatenate(x) for x in zip(*got, strict=True))
+        room = self.n_units + n
+        if room > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(room, np.int64)]) for x in (self.first, self.size))
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(self.n_ids + len(ids), np.uint32)])
+        self.first[self.n_units + which] = self.n_ids + np.cumsum(count) - count
+        self.size[self.n_units + which] = count
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(lo, hi, ids, offsets) of runs of texts: text lo + i has the ids from
+        offsets[i] to offsets[i + 1], the end id last where there is one."""
+        raw, at = text_bytes(texts)
+        for lo, hi in slices(at):
+            number, first = self.numbers(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            count = self.size[number]
+            stop = np.cumsum(count)
+            before = np.concatenate([[0], stop])[first]
+            total = int(before[-1])
+            i = np.arange(total)
+            ids = self.ids[i + np.repeat(self.first[number] - (stop - count), count)]
+            if end_id is not None:
+                out = np.full(total + hi - lo, end_id, "<u4")
+                out[i + np.repeat(np.arange(hi - lo), np.diff(before))] = ids
+                ids, before = out, before + np.arange(hi - lo + 1)
+            yield lo, hi, ids.astype("<u4", copy=False), before
+
+
+def encode_all(ids: Ids, texts: Iterable[str | None]) -> list[list[int]]:
+    return [part[a:b].tolist() for _, _, part, at in ids.encode(pa.array(list(texts), pa.string())) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 @functools.cache
-def word_ends(path: str) -> WordEnds:
-    return WordEnds(path)
+def word_counts(path: str) -> Counts:
+    return Counts(path)
 
 
 @functools.cache
-def word_end_ids(path: str) -> WordEndIds:
-    return WordEndIds(path)
+def word_ids(path: str) -> Ids:
+    return Ids(path)
 
 
-CACHES += [word_ends.cache_clear, word_end_ids.cache_clear]
+CACHES += [word_counts.cache_clear, word_ids.cache_clear]

@@ -18,21 +18,19 @@ end id alone.  Rows with equal doc_id are packed each on their own.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm.bpe import word_end_ids
+from boxloom.llm.bpe import word_ids
 from boxloom.llm.common import frugal, ranked, written
 
 CAPACITY = 2048
 UNIT = 64
 END_ID = 1
 MAX_COLUMNS = 600
-TEXTS_AT_ONCE = 2_000_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -53,38 +51,25 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, uni
     """A row a piece: PIECE."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
         from zlib import crc32
 
-        gc.disable()  # millions of small objects, none in cycles
-        encode, end = word_end_ids(vocabulary).encode_batch, np.array([end_id], "<u4").tobytes()
+        encode = word_ids(vocabulary).encode
         for b in batches:
-            out: list[list[int]] = [[] for _ in range(5)]
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in pairwise(spans(texts)):
-                for doc, raw in zip(ids[lo:hi], encode(texts[lo:hi]), strict=True):
-                    raw += end
-                    n, at, view = len(raw) // 4, 0, memoryview(raw)
-                    for size in cuts(n, capacity, unit):
-                        for col, v in zip(out, (doc, at, size, crc32(view[4 * at : 4 * (at + size)]), n), strict=True):
-                            col.append(v)
-                        at += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for lo, hi, ids, at in encode(b.column(1), end_id):
+                size = np.diff(at)
+                parts = [cuts(n, capacity, unit) for n in size.tolist()]
+                pieces = np.array([len(p) for p in parts])
+                length = np.array([x for p in parts for x in p], np.int64)
+                stop = np.cumsum(length)  # a run's pieces follow each other as its ids do
+                view = memoryview(ids).cast("B")
+                sums = [crc32(view[4 * x : 4 * y]) for x, y in zip((stop - length).tolist(), stop.tolist(), strict=True)]
+                start = stop - length - np.repeat(at[:-1], pieces)
+                doc = b.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), pieces)))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.repeat(size, pieces))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run, keep_caches=True), PIECE)
 
 
-def spans(texts: list[str | None], most: int = TEXTS_AT_ONCE) -> list[int]:
-    """Bounds of runs of texts of about `most` characters."""
-    out, size = [0], 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            out.append(i + 1)
-            size = 0
-    return out if out[-1] == len(texts) else [*out, len(texts)]
-
-
 def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: the best pattern for the given values."""
     best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -184,7 +169,7 @@ def place(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> D
     patterns = plan(counts, capacity)
     rows = places(patterns)
     table = spark.createDataFrame(rows, "length long, lo long, hi long, per long, first long, at long")
-    numbered = ranked(pieces, ["length"], F.struct("doc_id", "start"), ["doc_id", "start", "ids_crc32"], "r")
+    numbered = ranked(pieces, ["length"], F.struct("doc_id", "start"), ["doc_id", "start", "ids_crc32"], sum(counts.values()), "r")
     on = (numbered["length"] == table["length"]) & (numbered["r"] >= table["lo"]) & (numbered["r"] < table["hi"])
     out = numbered.join(F.broadcast(table), on).drop(table["length"])  # a few hundred patterns by their classes
     k = F.col("r") - F.col("lo")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.bpe import word_ends
+from boxloom.llm.bpe import word_counts
 from boxloom.llm.common import frugal
 
 LIMIT = 2048
@@ -21,9 +21,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """doc_id, n_bytes, n_tokens, over_limit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = word_ends(vocabulary).count
+        count = word_counts(vocabulary).count_array
         for b in batches:
-            n = pa.array([count(t) for t in b.column(2).to_pylist()], pa.int64())
+            n = pa.array(count(b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
