@@ -1,19 +1,20 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame functions only.
 
-Every shard is a leaf of a region / rack / shard tree and draws -ln(u) / weight
-from a hash of (key, shard).  A rack's draw is the least of its shards' draws,
-a region's the least of its racks': as the least of exponential draws is itself
-an exponential draw of the summed weight, each inner node draws with exactly
-the weight of its subtree.  A row descends to the region, then the rack, then
-the shard that draws least.
-
-Because an inner draw is made of its leaves' draws (not of a hash of its own),
-changing one weight moves rows only into or out of that leaf's subtree; an added
-shard takes rows only into itself.  Independent draws per level would not have
-that: rows drawn to a grown region would spread over its old shards.
+Regions hold racks, racks hold shards; a node weighs what its shards weigh.  A
+row descends level by level: among the regions the one of least draw
+-ln(u) / weight wins, u from a hash of (key, level, node), then among that
+region's racks, then among that rack's shards.  So a row takes as many hashes as
+its path has siblings, not one a shard.
+
+A changed weight moves rows only into or out of the subtrees that hold it: other
+regions' draws stay as they were.  Shards added later each open a region of
+their own, so they take rows only into themselves (law `key`): put beside the old
+racks they would change an old region's weight, and rows drawn to it would
+spread over its old shards.
 
 Null keys hash as an absent value (all to one place); null texts have no bytes.
-Repeated rows go to the same shard and get slots of their own.
+Repeated rows go to the same shard and get slots of their own; an empty table
+gives an empty one.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,60 +24,60 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import ranked
+from boxloom.llm.common import ranked, written
 
 SHARDS_PER_RACK = 2
 RACKS_PER_REGION = 4
 ROW_OVERHEAD = 8
 
 
-def draws(key: Column, weights: Sequence[float], seed: int) -> Column:
-    """Array of the shards' draws; a weight of 0 never wins."""
-    shard = F.array(*[F.lit(s) for s in range(len(weights))])
-    weight = F.array(*[F.lit(float(w)) for w in weights])
+def draw(key: Column, level: str, node: Column, weight: Column, seed: int) -> Column:
+    """-ln(u) / weight; infinite for a weight of 0 or none."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(2**53))
+    return F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(float("inf")))
 
-    def one(s: Column, w: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(key, s, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(2**53))
-        return F.when(w > 0, -F.log(u) / w).otherwise(F.lit(float("inf")))
 
-    return F.zip_with(shard, weight, one)
+def least(key: Column, level: str, nodes: Sequence[Column], weights: Sequence[Column], seed: int) -> Column:
+    """The node of least draw; ties go to the first."""
+    found = [F.struct(draw(key, level, n, w, seed).alias("draw"), n.alias("node")) for n, w in zip(nodes, weights, strict=True)]
+    return (F.least(*found) if len(found) > 1 else found[0])["node"]
 
 
-def least_of(inner: Column, n: int, per: int) -> Column:
-    """Array of the least draw of each `per` neighbours."""
-    return F.transform(F.sequence(F.lit(0), F.lit((n - 1) // per)), lambda g: F.array_min(F.slice(inner, g * per + 1, F.lit(per))))
+def sums(weights: Sequence[float], per: int) -> list[float]:
+    return [sum(weights[i : i + per]) for i in range(0, len(weights), per)]
 
 
-def _argmin(draws: Column, start: Column, length: int) -> Column:
-    """Index into draws of the least among draws[start : start + length]."""
-    part = F.slice(draws, start + 1, length)
-    return (start + F.array_position(part, F.array_min(part)) - 1).cast("int")
+def descend(df: DataFrame, key: str, weights: Sequence[float], out: str, added: Sequence[float] = (), seed: int = 0) -> DataFrame:
+    """Adds out: the shard of each row.  weights: of the tree's shards; added: of
+    later ones, numbered on, each a region of its own.  Weights of 0 take no rows."""
+    if not weights or min([*weights, *added]) < 0 or max([*weights, *added]) <= 0:
+        raise ValueError("weights are at least 0, one is above")
+    racks = sums(weights, SHARDS_PER_RACK)
+    regions = [*sums(racks, RACKS_PER_REGION), *added]
+    n, k = len(weights), F.col(key)
 
+    def inner(level: str, parent: str, per: int, known: Sequence[float]) -> Column:
+        nodes = [F.col(parent) * per + i for i in range(per)]
+        table = F.array(*[F.lit(float(w)) for w in known])
+        return least(k, level, nodes, [F.coalesce(F.get(table, x), F.lit(0.0)) for x in nodes], seed)
 
-def descend(df: DataFrame, key: Column, weights: Sequence[float], out: str, seed: int = 0) -> DataFrame:
-    """Adds out: the shard of each row.  Cost grows with the number of shards,
-    not with data; weights of 0 take no rows."""
-    if not weights or min(weights) < 0 or max(weights) <= 0:
-        raise ValueError("weights are at least 0, one is above")
-    n = len(weights)
-    racks = -(-n // SHARDS_PER_RACK)
-    df = df.withColumn("_leaf", draws(key, weights, seed))
-    df = df.withColumn("_rack", least_of(F.col("_leaf"), n, SHARDS_PER_RACK))
-    df = df.withColumn("_region", least_of(F.col("_rack"), racks, RACKS_PER_REGION))
-    df = df.withColumn("_at", _argmin(F.col("_region"), F.lit(0), -(-racks // RACKS_PER_REGION)))
-    df = df.withColumn("_at", _argmin(F.col("_rack"), F.col("_at") * RACKS_PER_REGION, RACKS_PER_REGION))
-    df = df.withColumn(out, _argmin(F.col("_leaf"), F.col("_at") * SHARDS_PER_RACK, SHARDS_PER_RACK))
-    return df.drop("_leaf", "_rack", "_region", "_at")
+    df = df.withColumn("_region", least(k, "region", [F.lit(i) for i in range(len(regions))], [F.lit(float(w)) for w in regions], seed))
+    df = df.withColumn("_rack", inner("rack", "_region", RACKS_PER_REGION, racks))
+    df = df.withColumn("_leaf", inner("shard", "_rack", SHARDS_PER_RACK, weights))
+    own = len(regions) - len(added)  # regions of the tree
+    return df.withColumn(out, F.when(F.col("_region") >= own, F.col("_region") - own + n).otherwise(F.col("_leaf")).cast("int")).drop("_region", "_rack", "_leaf")
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, seed: int = 0) -> DataFrame:
     """doc_id, size, text_crc32, law 'key', shard, slot, grown_shard.
 
-    grown_shard: the shard once there is one more, of weight 1.
+    grown_shard: the shard once there is one more, of weight 1.  Texts are read
+    once; the narrow rows are written.
     """
     w = list(weights or [1.0] * shards)
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    placed = descend(descend(slim, F.col("doc_id"), w, "shard", seed), F.col("doc_id"), [*w, 1.0], "grown_shard", seed)
-    out = ranked(placed, ["shard"], F.struct("doc_id", "text_crc32"), ["doc_id", "text_crc32", "size"], "slot")
+    placed = descend(descend(slim, "doc_id", w, "shard", seed=seed), "doc_id", w, "grown_shard", [1.0], seed)
+    placed = written(placed, "shards")
+    out = ranked(placed, ["shard"], F.struct("doc_id", "text_crc32"), ["doc_id", "text_crc32", "size"], placed.count(), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
