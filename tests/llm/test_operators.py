@@ -104,6 +104,56 @@ def test_jaccard_large_groups(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(40)] == comp
 
 
+def components_of(texts):
+    """Least index of each text's component, by comparing all sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    comp = list(range(len(sets)))
+    holders = defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x:
+            holders[g].append(i)
+    moved = True
+    links = []
+    for i, x in enumerate(sets):
+        for j, both in Counter(j for g in x for j in holders[g] if j < i).items():
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                links.append((i, j))
+    while moved:
+        moved = False
+        for i, j in links:
+            low = min(comp[i], comp[j])
+            moved |= comp[i] != comp[j]
+            comp[i] = comp[j] = low
+    return comp, [len(x) for x in sets]
+
+
+def test_jaccard_whole_table_equals_brute_force(spark):
+    """All of sf0.001's documents: the same components, so recall is 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted(docs.collect())
+    comp, sizes = components_of([r["text"] for r in rows])
+    got = by_id(jaccard.near_duplicates(docs))
+    assert [got[r["doc_id"]]["component_id"] for r in rows] == [rows[c]["doc_id"] for c in comp]
+    assert [got[r["doc_id"]]["n_shingles"] for r in rows] == sizes
+
+
+def test_jaccard_hot_tokens_and_shared_names(spark, monkeypatch):
+    """Frequent shingles dealt over tasks; two sets of one name are told apart."""
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    words = [f"q{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], "z" * (i % 7), *words[i + 1 :]]) for i in range(40)] + [f"other text number {i} of five words" for i in range(5)]
+    real = jaccard.class_ids
+    monkeypatch.setattr(jaccard, "class_ids", lambda s, at, seed: real(s, at, seed) if seed else ([7] * (len(at) - 1), real(s, at, seed)[1]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    comp, sizes = components_of(texts)
+    got = by_id(jaccard.near_duplicates(docs.repartition(3)))
+    assert [(got[i]["component_id"], got[i]["n_shingles"]) for i in range(45)] == list(zip(comp, sizes, strict=True))
+
+
 def test_line_dedup(docs, none):
     got = by_id(line_dedup.line_digest(docs))
     assert [got[i]["n_dropped"] for i in range(8, 14)] == [1] * 5 + [0] and got[0]["n_lines"] == 1
@@ -123,10 +173,14 @@ def test_line_dedup_heavy_and_light_agree(docs, monkeypatch):
 def test_line_runs_keep_levels(spark):
     runs = line_dedup.LineRuns(spark)
     for i in range(5):
-        runs.add(spark.createDataFrame([(i, 1, 1), (i, 2, i)], line_dedup.PAIR))
+        batch = [(i, 1, 1), (i, 2, i), (None, 3, 3)] if i in (0, 3) else [(i, 1, 1), (i, 2, i)]
+        runs.add(spark.createDataFrame(batch, line_dedup.PAIR))
+        met = runs.met(spark.createDataFrame([(1, 1, 1, 9), (7, 7, 1, 9)], "h1 long, h2 long, n_docs long, max_doc long"))
+        assert {r["h1"]: (r["n_docs"], r["max_doc"]) for r in met.collect()} == {1: (i + 2, 9), 7: (1, 9)}
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {(r["h1"], r["h2"]): (r["n_docs"], r["max_doc"]) for r in runs.all().collect()}[1, 1] == (5, 4)
-    assert runs.unseen(spark.createDataFrame([(9, 1, 1), (9, 7, 7)], line_dedup.PAIR)).count() == 1
+    got = {(r["h1"], r["h2"]): (r["n_docs"], r["max_doc"]) for r in runs.all().collect()}
+    assert got == {(1, 1): (5, 4), (3, 3): (2, None)} | {(2, i): (1, i) for i in range(5)}
+    runs.drop()
 
 
 def test_decontamination(spark, docs, none):
@@ -148,10 +202,37 @@ def test_sharding(docs, none, spark):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and len(rows) == len(TEXTS) + 2
     assert {r["text_crc32"] for r in rows if r["doc_id"] == 4} == {zlib.crc32(BASE.encode())}
     assert sharding.assign_shards(none).count() == 0
-    many = sharding.descend(spark.range(24000), sharding.F.col("id"), [1.0] * 12 + [2.0] * 12, "shard").groupBy("shard").count().collect()
+    many = sharding.descend(spark.range(24000), "id", [1.0] * 12 + [2.0] * 12, "shard").groupBy("shard").count().collect()
     assert all(abs(r["count"] / (24000 * (2 if r["shard"] >= 12 else 1) / 36) - 1) < 0.2 for r in many) and len(many) == 24
 
 
+def test_sharding_descends_as_in_plain_python(spark):
+    """Every row's path against level-by-level draws with the xxhash package."""
+    import math
+
+    import xxhash
+
+    def draw(key, level, node, weight):
+        h = 42
+        for x in (key.to_bytes(8, "little", signed=True), level.encode(), node.to_bytes(4, "little"), (0).to_bytes(4, "little")):
+            h = xxhash.xxh64_intdigest(x, h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight if weight else math.inf
+
+    weights = [1.0, 2.0, 0.0, 1.0, 3.0, 1.0, 1.0, 1.0, 1.0, 0.5]
+    racks, regions = sharding.sums(weights, 2), sharding.sums(sharding.sums(weights, 2), 4)
+
+    def path(key, added=()):
+        region = min(range(len(regions) + len(added)), key=lambda i: draw(key, "region", i, [*regions, *added][i]))
+        if region >= len(regions):
+            return len(weights) + region - len(regions)
+        rack = min(range(4 * region, 4 * region + 4), key=lambda i: draw(key, "rack", i, racks[i] if i < len(racks) else 0))
+        return min((2 * rack, 2 * rack + 1), key=lambda i: draw(key, "shard", i, weights[i] if i < len(weights) else 0))
+
+    rows = sharding.descend(sharding.descend(spark.range(-50, 450), "id", weights, "a"), "id", weights, "b", [1.0, 2.0]).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(path(r["id"]), path(r["id"], (1.0, 2.0))) for r in rows]
+    assert all(r["a"] == r["b"] or r["b"] >= 10 for r in rows) and {r["b"] for r in rows} == {*range(12)} - {2}
+
+
 def test_language(spark, docs, none):
     train = [(i, t, x) for i in range(60) for t, x in [("the house and the dog", "en")] if i % 2] + [(i, "das haus und der hund", "de") for i in range(0, 60, 2)]
     got = by_id(language.identify(spark.createDataFrame([*train, (100, "the dog", None), (101, "Hunde und Häuser", None), (102, "123 ?", "en"), (103, None, "en")], "doc_id long, text string, lang string")))
@@ -193,11 +274,27 @@ def test_tokens(docs, none):
     want = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
     got = by_id(token_counts.count_tokens(docs, vocabulary()))
     assert {i: got[i]["n_tokens"] for i in want} == {i: len(x) for i, x in want.items()}
-    ids = bpe.WordEndIds(vocabulary()).encode_batch(TEXTS)
-    assert [list(memoryview(x).cast("I")) for x in ids] == list(want.values())
+    assert bpe.encode_all(bpe.Ids(vocabulary()), TEXTS) == list(want.values())
     assert token_counts.count_tokens(none, vocabulary()).count() == 0
 
 
+def test_tokens_of_any_unicode():
+    """Ids and counts against the library, with tables that start anew often."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(vocabulary()), random.Random(5)
+    odd = ["'s", "'re", "<|endoftext|>", "<|", "\u0130", "J\u030c", "\u1c89", "\ua7cb", "\u2000", "\x00", "\x1c", "\x85", "é", "É", "×", "½", "the ", "Foo", "x" * 40, "\n"]
+    ranges = [(32, 127), (0x80, 0x250), (0x300, 0x370), (0x250, 0xD800), (0xE000, 0x110000)]
+    one = lambda: rng.choice(odd) if rng.random() < 0.3 else chr(rng.randrange(*rng.choice(ranges)))
+    texts = ["".join(one() for _ in range(rng.randrange(30))) for _ in range(4000)] + [None, "", "ab\x00", "ab", "a" * 100_000]
+    want = [e.ids for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert bpe.encode_all(bpe.Ids(vocabulary(), most=500), texts) == want
+    assert bpe.Counts(vocabulary(), most=500).count_array(pa.array(texts)).tolist() == [len(x) for x in want]
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
