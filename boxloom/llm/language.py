@@ -2,10 +2,11 @@
 
 Training: per-language log frequencies of words, and of character n-grams of
 the words (with their ends), on a bounded sample: at most SAMPLE_DOCS labelled
-documents a language, the first by a hash of their id.  The tables are bounded
-too (MAX_GRAMS a language and order), so the model can be broadcast.
+documents a language, the first by a hash of their id, whole texts and all their
+words and n-grams.  That bounds the model by the number of languages, so it can
+be broadcast.
 
-Prediction, over whole texts: a known word scores by its log frequency in each
+Prediction, over whole texts: words are runs of letters (Unicode category L).  A known word scores by its log frequency in each
 language; an unknown one by its n-grams, the longest order first, going to
 shorter ones until one is known.  The language with the highest mean score
 wins; its share in a softmax over the summed scores is the score.
@@ -20,6 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,23 +31,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import frugal
+from boxloom.llm.common import CACHES, frugal, slices, text_bytes
+from boxloom.llm.units import UnitTable
 
 FOLDS = 5
 SAMPLE_DOCS = 800
 TEAMS = 256
-MAX_GRAMS = 20_000
 ORDERS = (4, 3, 2, 1)
-CACHE = 300_000
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Numbers that the standard library's \w takes in, but for decimal digits.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_WORDS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def counts(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = MAX_GRAMS) -> DataFrame:
+def counts(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """(lang, size, gram, n): size 0 for words, else the n-gram's order."""
     pool = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     ids = pool.select("doc_id", "lang", (F.spark_partition_id() % TEAMS).alias("_team"))
@@ -60,9 +65,7 @@ def counts(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = MAX_GRAMS) ->
         one = words.select("lang", "n", F.lit(k).alias("size"), F.explode(grams).alias("gram"))
         parts = one if parts is None else parts.unionByName(one)
     grams = parts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    every = grams.unionByName(words.withColumn("size", F.lit(0)))
-    top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
-    return every.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= most).drop("_r")
+    return grams.unionByName(words.withColumn("size", F.lit(0)))
 
 
 def _part(text: Column, k: int):
@@ -85,8 +88,6 @@ class Model:
             none = [math.log(0.5 / (totals.get((size, i), 0) + len(grams))) for i in range(len(self.langs))]
             self.tables[size] = {g: tuple(math.log((by[i] + 0.5) / (totals[size, i] + len(grams))) if i in by else none[i] for i in range(len(self.langs))) for g, by in grams.items()}
         self.flat = tuple(0.0 for _ in self.langs)
-        self.rows: dict[str, int] = {}
-        self.matrix = np.zeros((0, len(self.langs)))
 
     def word(self, word: str) -> tuple[float, ...]:
         """Log scores by language, relative to the best one."""
@@ -104,40 +105,64 @@ class Model:
         top = max(got)
         return tuple(x - top for x in got)
 
-    def index(self, word: str) -> int:
-        if len(self.rows) >= len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros((max(1024, len(self.matrix)), len(self.langs)))])
-        k = self.rows[word] = len(self.rows)
-        self.matrix[k] = self.word(word)
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORDS.findall(text.lower()) if text else []
-        if not self.langs or not text or (not words and not any(c.isalpha() for c in text)):
-            return UNKNOWN, 0.0
-        if not words:
-            words = [c for c in text.lower() if c.isalpha()]
-        if len(self.rows) > CACHE:
-            self.rows, self.matrix = {}, self.matrix[:0]
-        get, make = self.rows.get, self.index
-        total = np.zeros(len(self.langs))
-        for lo in range(0, len(words), CACHE):
-            at = [make(w) if (k := get(w)) is None else k for w in words[lo : lo + CACHE]]
-            total += self.matrix[at].sum(0)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
-
-
-def identify(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = MAX_GRAMS) -> DataFrame:
+
+class Scores(UnitTable):
+    """Of each unit its words' summed scores by language, and their number."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        super().__init__()
+
+    def forget(self) -> None:
+        super().forget()
+        self.rows = np.zeros((1024, len(self.model.langs) + 1))
+
+    def learn(self, low: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> None:
+        room = self.n_units + len(start)
+        if room > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((room, self.rows.shape[1]))])
+        for k, (i, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True), self.n_units):
+            words = _WORDS.findall(low[i : i + n].tobytes().decode().lower())
+            if words:
+                self.rows[k, :-1] = np.sum([self.model.word(w) for w in words], axis=0)
+                self.rows[k, -1] = len(words)
+
+    def predict(self, texts: pa.Array) -> Iterator[tuple[str, float]]:
+        """(language, score) of each text."""
+        langs = self.model.langs
+        raw, at = text_bytes(texts)
+        for lo, hi in slices(at):
+            number, first = self.numbers(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            # the zero row ends the last text's; one more of each text would change no sum
+            rows = np.concatenate([self.rows[number], np.zeros((1, len(langs) + 1))])
+            sums = np.add.reduceat(rows, first[:-1], axis=0)
+            for total, empty in zip(sums, (first[1:] == first[:-1]).tolist(), strict=True):
+                if empty or not total[-1] or not langs:
+                    yield UNKNOWN, 0.0
+                    continue
+                best = int(total[:-1].argmax())
+                yield langs[best], float(1 / np.exp(np.clip(total[:-1] - total[best], -700, 0)).sum())
+
+
+#: The worker's model, by the name of its run.
+MODELS: dict[str, Scores] = {}
+CACHES.append(MODELS.clear)
+
+
+def identify(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    found = counts(docs, sample, most).collect()  # most * 5 rows a language
+    found = counts(docs, sample).collect()  # what `sample` texts a language hold
     model = docs.sparkSession.sparkContext.broadcast([(r["lang"], r["size"], r["gram"], r["n"]) for r in found])
+    name = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = Model({"lang": a, "size": b, "gram": c, "n": d} for a, b, c, d in model.value).predict
+        if name not in MODELS:  # once a worker
+            MODELS.clear()
+            MODELS[name] = Scores(Model({"lang": a, "size": b, "gram": c, "n": d} for a, b, c, d in model.value))
+        predict = MODELS[name].predict
         for b in batches:
-            out = [predict(t) for t in b.column(2).to_pylist()]
+            out = list(predict(b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return slim.mapInArrow(frugal(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    return slim.mapInArrow(frugal(run, keep_caches=True), "doc_id long, held_out boolean, lang_pred string, score double")

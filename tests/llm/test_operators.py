@@ -369,3 +369,96 @@ def test_bench_has_every_corpus_query():
     import bench
 
     assert set(bench.LLM) == {*QUERIES, "pipeline"}
+
+
+def test_html_as_browsers_read_it():
+    long = "long text " * 20
+    page = lambda inner: f"<body><article><p>{long}</p>{inner}<p>end</p></article></body>"
+    got = lambda inner: html_text.main_text(page(inner)).split("\n")[1:]
+    assert got('<script>x="<!--"</script><p>b</p>') == ["b", "end"]
+    assert got("<p title=it's>b</p><p>c</p>") == ["b", "c", "end"]
+    assert got('<p title="a > b">b</p><!-- <p>no</p> --><p>c</p>') == ["b", "c", "end"]
+    assert got('<h2 id="search-results">b</h2><blockquote class="social-quote">c</blockquote>') == ["b", "c", "end"]
+    assert got('<div class="share-buttons">b</div><div id="userComments"><p>c</p></div><div class="ad x">d</div><ul class="related-posts"><li>e</li></ul>') == ["end"]
+    assert html_text.main_text(f'<div class="share-of-market">{page("")}</div>') == f"{long.strip()}\nend"
+    assert html_text.main_text(f"<article><header><h1>Title</h1></header><p>{long}</p></article>") == f"Title\n{long.strip()}"
+
+
+def test_html_query_equals_a_parser(spark):
+    """All pages of sf0.001 against the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.lines, self.own, self.on, self.off = [], [], 0, 0
+
+        def flush(self):
+            if text := " ".join("".join(self.own).split()):
+                self.lines.append(text)
+            self.own = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BLOCKS:
+                self.flush()
+            self.own += [" "] * (tag == "br")
+            self.on += tag == "article"
+            self.off += tag in ("script", "style", "nav", "footer")
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCKS:
+                self.flush()
+            self.on -= tag == "article"
+            self.off -= tag in ("script", "style", "nav", "footer")
+
+        def handle_data(self, data):
+            if self.on and not self.off:
+                self.own.append(data)
+
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        reader = Reader()
+        reader.feed(r["html"] or "")
+        reader.close()
+        reader.flush()
+        want[r["page_id"]] = "\n".join(reader.lines)
+    got = QUERIES["op7_html_text"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_language_letters_and_held_out(spark):
+    rows = [(i, "the house and the dog", "en") for i in range(1, 60, 2)] + [(i, "das haus und der hund", "de") for i in range(0, 60, 2)]
+    odd = ["½ ² Ⅷ", "12 !", "don't the", "HOUSE—Hund", "", "the " * 50_000, "日本"]
+    got = by_id(language.identify(spark.createDataFrame([*rows, *((100 + i, t, None) for i, t in enumerate(odd))], "doc_id long, text string, lang string")))
+    assert [got[100 + i]["lang_pred"] for i in range(6)] == ["und", "und", "en", got[103]["lang_pred"], "und", "en"]
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and got[106]["lang_pred"] in ("de", "en")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    held = [r for r in language.identify(docs).collect() if r["held_out"] and lang[r["doc_id"]]]
+    assert len(held) > 100 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.98 * len(held)
+
+
+def test_pii_base_spans_equal_plain_patterns(spark):
+    """The contract's patterns and checks on all of sf0.001's texts, by `re`."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def good(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            twice = [int(x) * (1 + i % 2) for i, x in enumerate(reversed(d))]
+            return 14 <= len(d) <= 19 and sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
+        return kind == "email" or 10 <= len(d) <= 15
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = by_id(pii.pii_digest(spark.createDataFrame([*rows, (-1, "1.2.3.4.5 4111 1111 1111 1111 1 a@b.c@d.e +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6")], "doc_id long, text string")))
+    for doc, text in [*map(tuple, rows), (-1, "1.2.3.4.5 4111 1111 1111 1111 1 a@b.c@d.e +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6")]:
+        spans = [(m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, p) in enumerate(plain.items()) for m in re.finditer(p, text or "") if good(k, m[0])]
+        joined = ",".join(x for _, _, x in sorted(spans))
+        assert got[doc]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), (doc, joined, got[doc]["spans"])
