@@ -43,18 +43,40 @@ BOILERPLATE = frozenset(
     "respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget alert complementary contentinfo search".split()
 )
 
+HOLDERS = frozenset("area articles bar block box buttons container form group inner item items left links list panel posts right section slot stories unit widget wrap wrapper".split())
 CONTENT = frozenset("article body content entry main post story text".split())
 REMARKS = frozenset("comment comments disqus replies reply respond".split())
 
-_RAW_TEXT = re.compile(r"<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
-_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+# As browsers read them: a quote opens a value only after "=", and values may hold ">".
+_ATTRS = r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+"
+# One pass over comments, declarations, raw text and tags, whichever comes first.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?![A-Za-z0-9:-]){_ATTRS}>.*?(?:</(?P=raw)(?![A-Za-z0-9:-])[^>]*>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>{_ATTRS})>",
+    re.S | re.I,
+)
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HEADER_END = re.compile("</header", re.I)
+_HEADING = re.compile(r"<h[1-6](?![0-9A-Za-z])", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+def says_boilerplate(token: str, whole: bool) -> bool:
+    """Whether a class, id or role names boilerplate: the word itself, a name that
+    ends in one ("site-footer"), or one that holds a list or box of them
+    ("share-buttons", but not "share-of-market")."""
+    parts = [p.lower() for p in _PART.findall(token)]
+    if not parts:
+        return False
+    held = parts[-1] in HOLDERS
+    if parts[-1] in REMARKS or (parts[0] in REMARKS and (held or parts[-1] in CONTENT)):
+        return True
+    return not whole and not CONTENT.intersection(parts) and (parts[-1] in BOILERPLATE or (parts[0] in BOILERPLATE and held))
+
+
 def boilerplate(name: str, attrs: str) -> bool:
     if name in LEFT_OUT:
         return True
@@ -62,20 +84,18 @@ def boilerplate(name: str, attrs: str) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    words = {w for m in _MARKS.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-    if words & REMARKS:
-        return True
-    return bool(words & BOILERPLATE) and name not in WHOLE and not words & CONTENT
+    tokens = [t for m in _MARKS.finditer(attrs) for t in (m[1] or m[2] or m[3] or "").split()]
+    return any(says_boilerplate(t, name in WHOLE) for t in tokens)
 
 
-def unclosed(page: str) -> set[int]:
+def unclosed(tokens: list[re.Match]) -> set[int]:
     """Where the elements left out by name start that are never closed."""
     opened: dict[str, list[int]] = {}
-    for m in _TAG.finditer(page):
-        name = m[2].lower()
-        if name in LEFT_OUT and not m[3].endswith("/"):
+    for m in tokens:
+        name = (m["name"] or "").lower()
+        if name in LEFT_OUT and not m["attrs"].endswith("/"):
             at = opened.setdefault(name, [])
-            if not m[1]:
+            if not m["close"]:
                 at.append(m.start())
             elif at:
                 at.pop()
@@ -84,7 +104,7 @@ def unclosed(page: str) -> set[int]:
 
 def text_lines(html: str) -> tuple[list[str], list[int]]:
     """One line a block, and its weight."""
-    page = _RAW_TEXT.sub(" ", _COMMENT.sub("", html))
+    page, tokens = html, list(_TOKEN.finditer(html))
     lines: list[str] = []
     weights: list[int] = []
     own: list[str] = []
@@ -100,7 +120,7 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
         if skip not in LEFT_OUT or skip == "form":
             return True
         if never is None:
-            never = unclosed(page)
+            never = unclosed(tokens)
         return skip_at in never
 
     def flush() -> None:
@@ -115,24 +135,33 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
         linked = 0
 
     at = 0
-    for m in _TAG.finditer(page):
+    for m in tokens:
         if not skip and m.start() > at:
             part = page[at : m.start()]
             own.append(part)
             if link:
                 linked += len(part)
         at = m.end()
-        close, name = bool(m[1]), m[2].lower()
+        if m["raw"]:
+            own.append(" ")
+        if not m["name"]:
+            continue
+        close, name, attrs = bool(m["close"]), m["name"].lower(), m["attrs"]
+        if name == "header" and inside and not skip and not boilerplate("", attrs):
+            end = _HEADER_END.search(page, at)
+            if close or _HEADING.search(page, at, end.start() if end else len(page)):  # the article's own title
+                flush()
+                continue
         if skip:
             if name in WHOLE and not close and skip != name and ends_skip():
                 skip = ""  # an unclosed box doesn't swallow the article
             else:
-                if name == skip and not m[3].endswith("/"):
+                if name == skip and not attrs.endswith("/"):
                     depth += -1 if close else 1
                 if depth <= 0:
                     skip = ""
                 continue
-        if not close and name not in VOID and not m[3].endswith("/") and boilerplate(name, m[3]):
+        if not close and name not in VOID and not attrs.endswith("/") and boilerplate(name, attrs):
             if name in BLOCKS:
                 flush()
             skip, depth, skip_at = name, 1, m.start()
