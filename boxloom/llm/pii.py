@@ -207,12 +207,13 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (of
+    all kinds)."""
     out = find_spans(docs)
     count = {f"n_{k}": F.coalesce(F.size(F.filter("_base", _is(k))), F.lit(0)).cast("long") for k in KINDS}
     count = {n: F.when(F.col("_base").isNull(), F.lit(0).cast("long")).otherwise(c) for n, c in count.items()}
     text = lambda c: F.coalesce(joined_spans(F.col(c)), F.lit(""))
-    return out.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(text("_base"), 256).alias("base_sha256"), text("_spans").alias("spans"))
+    return out.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(text("_base"), 256).alias("base_sha256"), text("_spans").alias("spans"), F.greatest(F.coalesce(F.size("_spans"), F.lit(0)), F.lit(0)).cast("long").alias("n_spans"))
 
 
 def _is(kind: str):
