@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 REMOTE_MARKERS = ("youtube.com/", "youtu.be/", "www.youtube.com/")
 
 # Suffixes of video files.
-VIDEO_SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".webm", ".m4v")
+VIDEO_SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".m4v", ".webm")
 
 
 def basename(path: Column) -> Column:

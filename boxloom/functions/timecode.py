@@ -41,6 +41,12 @@ def format_time(seconds: Column) -> Column:
     return F.concat(h.cast("string"), F.lit(":"), F.format_string("%02d", m), F.lit(":"), s)
 
 
+def clock_text(seconds: float) -> str:
+    """What format_time gives, for one number."""
+    minutes, rest = divmod(seconds, 60.0)
+    return "{}:{:02d}:{:06.3f}".format(*divmod(int(minutes), 60), rest)
+
+
 def section(start: Column, end: Column) -> Column:
     """``*start-end``; null unless both bounds are given."""
     return F.concat(F.lit("*"), format_time(start), F.lit("-"), format_time(end))
@@ -67,4 +73,5 @@ def expected_frames(first: Column, last: Column, step: int = DEFAULT_STEP) -> Co
 
 
 def frame_name(stem: Column, idx: Column) -> Column:
-    return F.format_string("%s_f%07d.jpg", stem, idx)
+    number = F.when(idx < 10_000_000, F.lpad(idx.cast("string"), 7, "0")).otherwise(idx.cast("string"))  # plainer than format_string
+    return F.concat(stem, F.lit("_f"), number, F.lit(".jpg"))

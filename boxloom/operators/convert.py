@@ -28,11 +28,10 @@ def box_status(kind: Column, label: Column, has_label: Column, numbers: Column)
     )
 
 
-def box_lines(boxes: DataFrame, clamp: bool = True, zero_missing: bool = False, lenient_text: bool = True) -> DataFrame:
+def box_lines(boxes: DataFrame, clamp: bool = True, zero_missing: bool = False) -> DataFrame:
     """Adds status, class_id, cx, cy, w, h and line to exploded boxes.
 
     zero_missing: an absent coordinate counts as 0 (full exports, mode "all").
-    lenient_text: numbers written as text count.
     line is null unless status is 'ok'.
     """
     label = F.get("box.labels", F.lit(0))

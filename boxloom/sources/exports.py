@@ -31,13 +31,16 @@ def read_tasks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 
 
 def tasks_of(texts: DataFrame) -> DataFrame:
-    """(file, value) with a JSON array each -> (file, ordinal, raw)."""
+    """(file, value) with a JSON array each -> (file, is_min, ordinal, raw); the
+    first element says for its file whether it is JSON-MIN."""
     # The variant parse fails on truncated text, which the array parse hides.
     valid = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("[")
     items = F.when(valid, F.from_json("value", "array<string>")).otherwise(
         F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("file"))).cast("array<string>")
     )
-    return texts.select("file", F.posexplode(items).alias("ordinal", "raw"))
+    first = F.get("items", F.lit(0))
+    flag = has_key(first, "label") & ~has_key(first, "annotations")
+    return texts.select("file", items.alias("items")).select("file", flag.alias("is_min"), F.posexplode("items").alias("ordinal", "raw"))
 
 
 def has_key(raw: Column, key: str) -> Column:
@@ -107,11 +110,11 @@ def min_tasks(tasks: DataFrame) -> DataFrame:
 
 def read_export(spark: SparkSession, path: str, mode: str = "all", ref: str | None = None, lines: bool = False) -> DataFrame:
     """Tasks of any mix of full and JSON-MIN files; each file's first element
-    says which it is.  The flag joins back by file (a row a file)."""
+    says which it is."""
     tasks = read_tasks(spark, path, lines)
     if lines:  # an object a line: each line tells for itself
         is_min = has_key(F.col("raw"), "label") & ~has_key(F.col("raw"), "annotations")
         marked = tasks.withColumn("is_min", is_min)
     else:
-        marked = tasks.join(is_min_format(tasks), "file")
+        marked = tasks
     return full_tasks(marked.where("NOT is_min"), mode, ref).unionByName(min_tasks(marked.where("is_min")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,19 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return _listing(spark, root, True, None)
 
 
+def list_labels(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, stem) of ``*.txt`` below root, empty files included.
+
+    A scan leaves empty files out, but an empty label file says that its image
+    shows nothing; so the names come from the file index, which the driver holds.
+    """
+    index = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
+    # the index gives encoded URLs, a scan plain paths
+    paths = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in index.inputFiles()]
+    name = refs.basename(F.col("path"))
+    return spark.createDataFrame(paths, "path string").select("path", name.alias("name"), refs.stem_or_name(name).alias("stem"))
+
+
 def list_videos(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
     """Video files directly in a folder (or the one file given), by path.
 

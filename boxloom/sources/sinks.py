@@ -60,6 +60,21 @@ def copy_files(manifest: DataFrame, with_metadata: bool = False) -> None:
     manifest.select("src", "dst").foreachPartition(run)
 
 
+def write_labels(labels: DataFrame) -> None:
+    """The text of each (dst, text) row at its path, on a shared file system."""
+
+    def run(rows: Iterable) -> None:
+        import os
+
+        for r in rows:
+            dst = _plain(r["dst"])
+            os.makedirs(os.path.dirname(dst), exist_ok=True)
+            with open(dst, "w", encoding="utf-8", newline="") as f:
+                f.write(r["text"] or "")
+
+    labels.select("dst", "text").foreachPartition(run)
+
+
 def write_texts(texts: DataFrame, root: str, name: str = "stem") -> None:
     """``<root>/<name>.txt`` for each row; empty text leaves an empty file.
     Each name must be unique (see last_write_wins)."""

@@ -7,12 +7,13 @@ where the optional decoder package is installed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions import refs
+from boxloom.functions.timecode import DEFAULT_STEP, clock_text
 
 PROBE_SCHEMA = "path string, total_frames int, fps double"
 
@@ -48,28 +49,71 @@ def probe(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(look, PROBE_SCHEMA)
 
 
-def clock(seconds: float) -> str:
-    whole = int(seconds // 60)
-    return f"{whole // 60}:{whole % 60:02d}:{seconds % 60:06.3f}"
-
-
 def fetch_command(url: str, folder: str, start: float | None = None, end: float | None = None) -> list[str]:
     """Arguments of the external downloader; nothing is run here.
 
     A slice is asked for only when both bounds are given.
     """
     # The downloader's options and format choice.
-    fixed = ["-f", "bv*[ext=mp4]+ba[ext=m4a]/b[ext=mp4]/bv*+ba/b", "--merge-output-format", "mp4", "--no-playlist", "--no-warnings"]
-    out = ["yt-dlp", *fixed, "-o", f"{folder.rstrip('/')}/%(id)s.%(ext)s", "--print", "after_move:filepath"]
+    out = [
+        "yt-dlp",
+        "-f", "bv*[ext=mp4]+ba[ext=m4a]/b[ext=mp4]/bv*+ba/b",
+        "--merge-output-format", "mp4",
+        "-o", f"{folder.rstrip('/')}/%(id)s.%(ext)s",
+        "--no-playlist",
+        "--no-warnings",
+        "--print", "after_move:filepath",
+    ]
     if start is not None and end is not None:
-        out += ["--download-sections", f"*{clock(start)}-{clock(end)}", "--force-keyframes-at-cuts"]
+        out += ["--download-sections", f"*{clock_text(start)}-{clock_text(end)}", "--force-keyframes-at-cuts"]
     return [*out, url]
 
 
 def fetched_path(printed: str) -> str | None:
     """Last line the downloader printed; None sends the caller to the newest file."""
-    lines = [x for x in printed.strip().splitlines() if x.strip()]
-    return lines[-1] if lines else None
+    return printed.rstrip().rpartition("\n")[2].strip() or None
+
+
+def decode_jpeg(path: str, wanted: list[int]) -> Iterator[tuple[int, bytes | None]]:
+    """(index, JPEG bytes, or None where the frame can't be read)."""
+    import cv2  # optional decoder
+
+    cap = cv2.VideoCapture(path)
+    try:
+        for i in wanted:
+            cap.set(cv2.CAP_PROP_POS_FRAMES, i)
+            read, frame = cap.read()
+            done, data = cv2.imencode(".jpg", frame) if read else (False, None)
+            yield i, data.tobytes() if done else None
+    finally:
+        cap.release()
+
+
+def write_frames(windowed: DataFrame, root: str, step: int = DEFAULT_STEP, decode: Callable[[str, list[int]], Iterator[tuple[int, bytes | None]]] = decode_jpeg) -> DataFrame:
+    """Writes the kept frames of sampling.windows() into root, a shared folder, as
+    <stem>_f<index>.jpg; (path, expected, saved) of each video.  Frames that don't
+    decode are left out.  A task is a video; a retried one writes the same again."""
+
+    def run(batches: Iterator) -> Iterator:
+        import os
+
+        import pandas as pd
+
+        os.makedirs(root, exist_ok=True)
+        for batch in batches:
+            rows = []
+            for v in batch.itertuples():
+                indices = list(range(int(v.first), int(v.last), step)) if v.last > v.first else []
+                saved = 0
+                for i, data in decode(v.path.removeprefix("file://").removeprefix("file:"), indices):
+                    if data is not None:
+                        with open(f"{root}/{v.stem}_f{i:07d}.jpg", "wb") as f:
+                            f.write(data)
+                        saved += 1
+                rows.append((v.path, len(indices), saved))
+            yield pd.DataFrame(rows, columns=["path", "expected", "saved"])
+
+    return windowed.select("path", "stem", "first", "last").repartition("path").mapInPandas(run, "path string, expected long, saved long")
 
 
 def object_store_images(spark, refs_df: DataFrame, column: str = "image_ref") -> DataFrame:
