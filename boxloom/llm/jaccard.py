@@ -53,6 +53,8 @@ NUM, DEN = 4, 5
 GROUPS = 32
 WIDE = 256
 CHUNK = 1500
+#: Rows of a bucket that share leaders; what they miss is left to the tree.
+LED = 400
 LEAF = 16
 FIRST = 16
 MAX_FREQUENT = 200_000
@@ -510,7 +512,7 @@ def _pairs(rows: DataFrame, keys: list[str], cols: list[str], point: str, find)
 
 def by_leaders(rows: DataFrame) -> DataFrame:
     """Candidate pairs of a leader round; large buckets are dealt over chunks."""
-    salt = F.pmod(F.xxhash64("cid", "token"), F.ceil(F.col("size") / CHUNK)).cast("long").alias("chunk")
+    salt = F.pmod(F.xxhash64("cid", "token"), F.ceil(F.col("size") / LED)).cast("long").alias("chunk")
     return _pairs(rows.select("token", salt, "cid", "n", "vec"), ["token", "chunk"], ["cid", "n"], "vec", leader_pairs)
 
 

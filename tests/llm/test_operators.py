@@ -85,6 +85,7 @@ def test_jaccard(docs, none):
 def test_jaccard_large_groups(spark, monkeypatch):
     """Chains and many copies, in buckets of several chunks."""
     monkeypatch.setattr(jaccard, "CHUNK", 7)
+    monkeypatch.setattr(jaccard, "LED", 7)
     words = [f"q{i}" for i in range(80)]
     texts = []
     for i in range(40):
