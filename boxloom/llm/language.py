@@ -88,22 +88,24 @@ class Model:
             none = [math.log(0.5 / (totals.get((size, i), 0) + len(grams))) for i in range(len(self.langs))]
             self.tables[size] = {g: tuple(math.log((by[i] + 0.5) / (totals[size, i] + len(grams))) if i in by else none[i] for i in range(len(self.langs))) for g, by in grams.items()}
         self.flat = tuple(0.0 for _ in self.langs)
+        self.backoff = [(k, {g: v for g, v in self.tables.get(k, {}).items() if len(g) == k}) for k in ORDERS]
 
-    def word(self, word: str) -> tuple[float, ...]:
+    def word(self, word: str) -> list[float] | tuple[float, ...]:
         """Log scores by language, relative to the best one."""
         got = self.tables.get(0, {}).get(word)
         if got is None:
-            sums, n = self.flat, 0
-            marked, i = f"<{word}>", 0
-            while i < len(marked):
-                for k in ORDERS:
-                    if i + k <= len(marked) and (hit := self.tables.get(k, {}).get(marked[i : i + k])) is not None:
-                        sums, n = tuple(a + b for a, b in zip(sums, hit, strict=True)), n + 1
+            marked, hits = f"<{word}>", []
+            for i in range(len(marked)):
+                for k, table in self.backoff:
+                    hit = table.get(marked[i : i + k])  # the word's end is shorter than k: no such n-gram
+                    if hit is not None:
+                        hits.append(hit)
                         break
-                i += 1
-            got = tuple(x / n for x in sums) if n else sums
+            if not hits:
+                return self.flat
+            got = [x / len(hits) for x in map(sum, zip(*hits, strict=True))]
         top = max(got)
-        return tuple(x - top for x in got)
+        return [x - top for x in got]
 
 
 class Scores(UnitTable):
@@ -121,11 +123,16 @@ class Scores(UnitTable):
         room = self.n_units + len(start)
         if room > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((room, self.rows.shape[1]))])
-        for k, (i, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True), self.n_units):
-            words = _WORDS.findall(low[i : i + n].tobytes().decode().lower())
-            if words:
-                self.rows[k, :-1] = np.sum([self.model.word(w) for w in words], axis=0)
-                self.rows[k, -1] = len(words)
+        data, score, none = low.tobytes(), self.model.word, [*self.model.flat, 0]
+        new = []
+        for i, n in zip(start.tolist(), size.tolist(), strict=True):
+            words = _WORDS.findall(data[i : i + n].decode().lower())
+            if len(words) == 1:
+                new.append([*score(words[0]), 1])
+            else:
+                new.append([*map(sum, zip(*map(score, words), strict=True)), len(words)] if words else none)
+        self.rows[self.n_units : room] = new
+
 
     def predict(self, texts: pa.Array) -> Iterator[tuple[str, float]]:
         """(language, score) of each text."""
