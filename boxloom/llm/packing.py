@@ -30,7 +30,6 @@ from boxloom.llm.common import frugal, ranked, written
 CAPACITY = 2048
 UNIT = 64
 END_ID = 1
-MAX_COLUMNS = 600
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -91,18 +90,23 @@ def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = MAX_COLUMNS) -> list[tuple[np.ndarray, float]]:
-    """(pattern, times) of a linear program's solution.
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """(pattern, times) of the linear program's solution.
 
-    It starts from one pattern a class and stops at the optimum, at the bound
-    total / capacity, or after `most` columns; each stage is feasible.
+    It starts from one pattern a class and stops at the optimum, or at the bound
+    total / capacity.  Steps are chosen on a slightly raised demand, other for
+    each class, so that none is degenerate; a basis that rounding errors bring
+    back ends it.  Each stage is feasible.
     """
     n = len(sizes)
     cols = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(cols))
-    x = inverse @ demand
-    bound = float(sizes @ demand) / capacity
-    for _ in range(most):
+    raised = demand * (1 + 1e-9 * np.arange(1, n + 1))
+    x = inverse @ raised
+    bound = float(sizes @ raised) / capacity
+    seen: set[bytes] = set()
+    while (basis := cols.tobytes()) not in seen:
+        seen.add(basis)
         if x.sum() <= bound * (1 + 1e-9) + 1e-9:
             break
         worth, pattern = price(sizes, np.maximum(inverse.sum(0), 0), capacity)
@@ -120,6 +124,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most
         row = inverse[out] / step[out]
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
+    x = np.maximum(inverse @ demand, 0)
     return [(cols[:, i].astype(np.int64), float(x[i])) for i in range(n)]
 
 

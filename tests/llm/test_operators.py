@@ -332,6 +332,19 @@ def test_packing_plan():
     assert used == demand and total <= sum(s * n for s, n in demand.items()) / 2048 + 3
 
 
+@pytest.mark.parametrize("scale", [50, 5 * 10**6, 5 * 10**9])
+def test_packing_plan_reaches_the_bound_at_every_size(scale):
+    demand = {s: scale * (s * 37 % 101) // 101 for s in [1024, 512, *range(64, 512, 64), *range(1, 64)]}
+    used, total = Counter(), 0
+    for pattern, times in packing.plan(demand):
+        assert sum(s * n for s, n in pattern.items()) <= 2048
+        total += times
+        for s, n in pattern.items():
+            used[s] += n * times
+    assert used == Counter({s: n for s, n in demand.items() if n})
+    assert total <= sum(s * n for s, n in demand.items()) / 2048 + 3
+
+
 def test_pii(docs, none):
     got = by_id(pii.pii_digest(docs))
     t = TEXTS[14]
