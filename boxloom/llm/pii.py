@@ -39,12 +39,12 @@ HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "ph
 
 # Candidate patterns beyond the base, and cue words.
 EXTRA = {
-    "secret": r"AKIA[0-9A-Z]{16}|(?<![A-Za-z0-9])[0-9a-f]{16,64}(?![A-Za-z0-9])",
+    "secret": r"AKIA[0-9A-Z]{16}|(?<![A-Za-z0-9])(?:[0-9a-f]{16,64}|[0-9A-F]{16,64})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "tel": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
-EXTRA_HINTS = {"secret": "AKIA|[0-9a-f]{16}", "ssn": "[0-9]{2}", "iban": "[0-9]{2}", "tel": "[0-9]{2}"}
+EXTRA_HINTS = {"secret": "AKIA|[0-9a-f]{16}|[0-9A-F]{16}", "ssn": "[0-9]{2}", "iban": "[0-9]{2}", "tel": "[0-9]{2}"}
 CUES = r"(?i)(password|passwd|token|secret|key|api|ssn|social|iban|account|konto|compte|cuenta|phone|tel|call|mobile|fax|mail|card|login)"
 COUNTERCUES = r"(?i)(version|section|page|chapter|license|licence|isbn|issn|figure|table|cc by)"
 VOTES = ("shape", "rule", "cue", "mark", "mixed")
