@@ -112,7 +112,7 @@ def votes(c: DataFrame) -> DataFrame:
     digits = F.char_length(_digits(m))
     yes, no, none = F.lit(1), F.lit(0), F.lit(-1)
     return c.withColumns({
-        "v_shape": F.when(F.col("kind") == "secret", F.when(m.startswith("AKIA") | n.isin(20, 32, 40, 64), yes).otherwise(none)).when(F.col("kind").isin("ssn", "iban"), yes).otherwise(none),
+        "v_shape": F.when(F.col("kind") == "secret", F.when(m.startswith("AKIA") | n.isin(20, 32, 40, 64), yes).otherwise(none)).when(F.col("kind").isin("ssn", "iban") | m.startswith("("), yes).otherwise(none),
         "v_rule": F.when(F.col("kind") == "iban", F.when(digits >= 10, yes).otherwise(no)).when(F.col("kind") == "ssn", F.when(m.rlike("^(000|666|9)"), no).otherwise(yes)).when(F.col("kind") == "tel", F.when(digits == 10, yes).otherwise(no)).when(digits < 3, no).otherwise(none),
         "v_cue": F.when(before.rlike(CUES), yes).when(before.rlike(COUNTERCUES), no).otherwise(none),
         "v_mark": F.when(before.rlike(r"[=:][\x20\"']*$"), yes).when(before.rlike(r"[#/$]$"), no).otherwise(none),

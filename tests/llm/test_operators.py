@@ -476,3 +476,16 @@ def test_pii_base_spans_equal_plain_patterns(spark):
         spans = [(m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, p) in enumerate(plain.items()) for m in re.finditer(p, text or "") if good(k, m[0])]
         joined = ",".join(x for _, _, x in sorted(spans))
         assert got[doc]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), (doc, joined, got[doc]["spans"])
+
+
+def test_pii_added_kinds_find_the_planted_ones(spark):
+    """Secrets of sf0.1, in either case, and telephone numbers that the base kind
+    drops are found; numbers that fail the card's checksum are left alone."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    planted = re.compile(r"AKIA[0-9A-Z]{16}|(?<![A-Za-z0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[0-9]*[A-F])[0-9A-F]{32,64}(?![A-Za-z0-9])")
+    extra = spark.createDataFrame([(-1, "call +1 (826) 555-4081 190.137.2.44 now"), (-2, "number 9807915762804490 end"), (-3, f'KEY = "{"9233A8ECF7C5B09F" * 2}"')], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_digest(rows.unionByName(extra)).select("doc_id", "spans").collect()}
+    want = {(r["doc_id"], m.start(), m.end()) for r in rows.where("text is not null").collect() for m in planted.finditer(r["text"])} | {(-3, 7, 39)}
+    found = {(i, int(a), int(b)) for i, x in got.items() for k, a, b in (s.split(":") for s in x.split(",") if s) if k == "secret"}
+    assert len(want) > 100 and found == want
+    assert got[-1] == "tel:8:22,ip:23:35" and got[-2] == ""
