@@ -5,12 +5,16 @@ sliding windows of lines; where the sum surges above a threshold the main text
 begins, where it dives below it the text ends.  Every such stretch stays, short
 lines included, and so do lines with a weight between two stretches.
 
-Lines weigh their own text; link text, and what stands outside <article> or
-<main> where a page has one, weighs nothing.  Elements that are boilerplate by
-name or by class, id or role are left out while stripping, so their lines are
-not seen at all; but <article> or <main> ends a left-out <form> round it, and a
-left-out element before it that is never closed.  A page whose lines never reach
-the threshold keeps its weightiest line's stretch; a page without text gives ''.
+Lines weigh their own text without link text.  Where an <article> or <main> holds
+text, only lines in such elements weigh, each their whole text, and windows end
+at the element's edges: an element in which the sum surges is kept whole, from
+edge to edge, and one in which it never does (a teaser beside the article) goes.
+
+Elements that are boilerplate by name or by class, id or role are left out while
+stripping, so their lines are not seen at all.  One left out by name that is never
+closed is read as an ordinary block, and so is a <form> round a whole page (one
+that holds h1, nav, header, footer, article or main).  A page whose lines never
+reach the threshold takes its largest sum for it; a page without text gives ''.
 
 Null html counts as empty; each row gets one row; only page_id, url and html are
 read.
@@ -30,11 +34,10 @@ from boxloom.llm.common import frugal
 
 WINDOW = 3
 THRESHOLD = 60
-INSIDE = 1000
 
 # Element names and attribute words.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-LEFT_OUT = frozenset("aside button datalist dialog footer form head header iframe menu nav noscript object select svg template".split())
+LEFT_OUT = frozenset("aside button datalist dialog footer form head header iframe label menu nav noscript object select svg template".split())
 RAW = ("script", "style", "textarea", "title")
 WHOLE = frozenset(("article", "main"))
 BOILERPLATE = frozenset(
@@ -61,6 +64,8 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADER_END = re.compile("</header", re.I)
 _HEADING = re.compile(r"<h[1-6](?![0-9A-Za-z])", re.I)
+_FORM_END = re.compile(r"</form", re.I)
+_PAGE_PART = re.compile(r"<(?:h1|nav|header|footer|article|main)(?![0-9A-Za-z-])", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -102,36 +107,41 @@ def unclosed(tokens: list[re.Match]) -> set[int]:
     return {x for at in opened.values() for x in at}
 
 
-def text_lines(html: str) -> tuple[list[str], list[int]]:
-    """One line a block, and its weight."""
+def text_lines(html: str) -> tuple[list[str], list[int], list[int]]:
+    """One line a block, its weight, and the number of the outermost <article> or
+    <main> that holds it (0: none)."""
     page, tokens = html, list(_TOKEN.finditer(html))
     lines: list[str] = []
     weights: list[int] = []
     own: list[str] = []
-    linked = inside = link = 0
-    seen_whole = False
-    outside: list[int] = []
-    skip, depth, skip_at = "", 0, 0
+    homes: list[int] = []
+    linked = inside = link = home = 0
+    skip, depth = "", 0
     never: set[int] | None = None
 
-    def ends_skip() -> bool:
-        """Whether <article> or <main> ends what is being left out."""
+    def left_out(m: re.Match, name: str) -> bool:
         nonlocal never
-        if skip not in LEFT_OUT or skip == "form":
+        if not boilerplate(name, m["attrs"]):
+            return False
+        if name not in LEFT_OUT:
             return True
         if never is None:
             never = unclosed(tokens)
-        return skip_at in never
+        if m.start() in never:
+            return False
+        if name == "form":
+            end = _FORM_END.search(page, m.end())
+            return not _PAGE_PART.search(page, m.end(), end.start() if end else len(page))
+        return True
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(own)).split())
         own.clear()
         if text:
-            if not inside:
-                outside.append(len(lines))
             lines.append(text)
-            weights.append(INSIDE + len(text) if inside else max(0, len(text) - linked))
+            weights.append(len(text) if inside else max(0, len(text) - linked))
+            homes.append(home if inside else 0)
         linked = 0
 
     at = 0
@@ -153,18 +163,20 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
                 flush()
                 continue
         if skip:
-            if name in WHOLE and not close and skip != name and ends_skip():
+            if not close and skip != name and name in WHOLE and skip not in LEFT_OUT:
                 skip = ""  # an unclosed box doesn't swallow the article
+            elif not close and skip == "p" and name in BLOCKS:
+                skip = ""  # any block ends a paragraph
             else:
                 if name == skip and not attrs.endswith("/"):
                     depth += -1 if close else 1
                 if depth <= 0:
                     skip = ""
                 continue
-        if not close and name not in VOID and not attrs.endswith("/") and boilerplate(name, attrs):
+        if not close and name not in VOID and not attrs.endswith("/") and left_out(m, name):
             if name in BLOCKS:
                 flush()
-            skip, depth, skip_at = name, 1, m.start()
+            skip, depth = name, 1
             continue
         if name in BLOCKS:
             flush()
@@ -173,26 +185,26 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
         if name == "a":
             link = 0 if close else 1
         if name in WHOLE:
+            home += not inside and not close
             inside = max(0, inside + (-1 if close else 1))
-            seen_whole = True
     if not skip:
         own.append(page[at:])
     flush()
-    if seen_whole:
-        for i in outside:
-            weights[i] = 0
-    return lines, weights
+    if any(homes):
+        weights = [w if h else 0 for w, h in zip(weights, homes, strict=True)]
+    return lines, weights, homes
 
 
-def main_lines(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[int]:
-    """The lines of the main text: all of each stretch, and what weighs between."""
+def main_lines(weights: list[int], homes: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[int]:
+    """The lines of the main text.  On a page without homes: all of each stretch, and
+    what weighs between; else all lines of each home that a stretch lies in."""
     n = len(weights)
-    if not n or not any(weights):
+    if not any(weights):
         return []
     half = window // 2
-    sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(n)]
-    limit = threshold if max(sums) >= threshold else max(sums)
-    kept: list[int] = []
+    sums = [sum(weights[k] for k in range(max(0, i - half), min(n, i + half + 1)) if homes[k] == homes[i]) for i in range(n)]
+    limit = min(threshold, max(sums))
+    stretches: list[tuple[int, int]] = []
     start = None
     for i in range(n + 1):
         up = i < n and sums[i] >= limit
@@ -205,16 +217,22 @@ def main_lines(weights: list[int], window: int = WINDOW, threshold: int = THRESH
             while hi > lo and not weights[hi - 1]:
                 hi -= 1
             if lo < hi:
-                between = range(kept[-1] + 1, lo) if kept else ()
-                kept += [k for k in between if weights[k]]
-                kept += range(lo, hi)
+                stretches.append((lo, hi))
             start = None
+    held = {homes[i] for lo, hi in stretches for i in range(lo, hi)} - {0}
+    if held:
+        return [i for i, h in enumerate(homes) if h in held]
+    kept: list[int] = []
+    for lo, hi in stretches:
+        between = range(kept[-1] + 1, lo) if kept else ()
+        kept += [k for k in between if weights[k]]
+        kept += range(lo, hi)
     return kept
 
 
 def main_text(html: str | None) -> str:
-    lines, weights = text_lines(html or "")
-    return "\n".join(lines[i] for i in main_lines(weights))
+    lines, weights, homes = text_lines(html or "")
+    return "\n".join(lines[i] for i in main_lines(weights, homes))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -268,6 +268,25 @@ def test_html_left_out_elements_do_not_swallow_the_article():
     assert html_text.main_text(f"<body>{closed}{a}</body>") == want  # a closed one is left out whole
 
 
+
+def test_html_line_blocks_choose_among_articles():
+    a, tail = "long text " * 20, "<p>Short end.</p><p>By</p><p>Me</p><p>x</p>"
+    want = f"{a.strip()}\nShort end.\nBy\nMe\nx"
+    teaser = "<article><h3>More</h3><p>see it</p></article>"
+    page = f"<p>{'unmarked text ' * 9}</p>{teaser}<article><p>{a}</p>{tail}</article>{teaser}"
+    assert html_text.main_text(page) == want  # sums surge in one element only: it stays to its edges
+    assert html_text.main_text(f"<p>{'unmarked text ' * 9}</p>{teaser}") == "More\nsee it"
+    assert html_text.main_text(f"<main></main><p>{a}</p>") == a.strip()
+
+
+def test_html_forms_and_unclosed_elements_without_article():
+    a = "long text " * 20
+    assert html_text.main_text(f"<form action=x><nav>menu</nav><h1>T</h1><p>{a}</p><label>Name</label></form>") == f"T\n{a.strip()}"
+    assert html_text.main_text(f"<p>{a}</p><form><h3>Reply</h3><p>{a}</p></form>") == a.strip()
+    assert html_text.main_text(f"<head><title>T</title><body><p>{a}</p>") == a.strip()
+    assert html_text.main_text(f"<article><p class=ad>buy<p>{a}</article>") == a.strip()
+
+
 def test_tokens(docs, none):
     from tokenizers import Tokenizer
 
