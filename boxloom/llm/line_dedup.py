@@ -41,6 +41,8 @@ FANOUT = 2
 #: Lines that hold this share of all pairs (one in HEAVY) are joined by broadcast;
 #: there are HEAVY of them at most.
 HEAVY = 1000
+#: Hashes (16 bytes each) of lines to drop that are broadcast at most, in all.
+BROADCAST_HASHES = 4_000_000
 SPACES = b" \t\n\v\f\r"
 KEY = ["h1", "h2"]
 PAIR = "doc_id long, h1 long, h2 long"
@@ -181,7 +183,8 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def _split(docs: DataFrame, doc_id: str, drops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that lose lines, with one and two: the hashes; all others)."""
-    gone = sized(drops).select(F.col("doc_id").alias("gone_id"), F.transform("drops", lambda d: d["h1"]).alias("one"), F.transform("drops", lambda d: d["h2"]).alias("two"))
+    hashes = drops.agg(F.sum(F.size("drops"))).first()[0] or 0
+    gone = (sized(drops) if hashes <= BROADCAST_HASHES else drops).select(F.col("doc_id").alias("gone_id"), F.transform("drops", lambda d: d["h1"]).alias("one"), F.transform("drops", lambda d: d["h2"]).alias("two"))
     same = docs[doc_id].cast("long").eqNullSafe(gone["gone_id"])
     return docs.join(gone, same).drop("gone_id"), docs.join(gone, same, "left_anti")
 

@@ -269,6 +269,14 @@ def test_html_left_out_elements_do_not_swallow_the_article():
 
 
 
+
+def test_line_dedup_by_shuffle_equals_broadcast(docs, monkeypatch):
+    rows = lambda: sorted(map(repr, line_dedup.line_digest(docs).collect()))
+    want = rows()
+    monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", 0)
+    assert rows() == want and any("n_dropped=1" in r for r in want)
+
+
 def test_html_line_blocks_choose_among_articles():
     a, tail = "long text " * 20, "<p>Short end.</p><p>By</p><p>Me</p><p>x</p>"
     want = f"{a.strip()}\nShort end.\nBy\nMe\nx"
